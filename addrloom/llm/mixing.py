@@ -102,9 +102,9 @@ WITH sized AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
   FROM ranked WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), opened AS (
-  SELECT *, (SELECT level FROM leveled WHERE cap > level * weight ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS at FROM leveled
+  SELECT *, (SELECT level FROM leveled WHERE cap > level * weight ORDER BY cap / weight, source NULLS LAST LIMIT 1) AS best FROM leveled
 ), targets AS (
-  SELECT source, source_size, CASE WHEN at IS NULL OR cap <= at * weight THEN cap::DOUBLE ELSE at * weight END AS target FROM opened
+  SELECT source, source_size, CASE WHEN best IS NULL OR cap <= best * weight THEN cap::DOUBLE ELSE best * weight END AS target FROM opened
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 4),
     substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2), size, doc_id) AS k FROM sized

@@ -27,10 +27,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/addrloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``dictionary`` false saves the search for repeated values in columns of long binaries.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,3 +81,11 @@ def stratified_sample(df: DataFrame, key: str, order: str, bound: int) -> DataFr
     for value, n in counts:
         share = F.when(F.col(key) == F.lit(value), F.lit(unit if n <= bound else int(unit * bound / n))).otherwise(share)
     return df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(7), F.col(order)), F.lit(unit)) < share))
+
+
+def sampled_rows(rows: DataFrame, sample: DataFrame, key: str, bound: int) -> DataFrame:
+    """Rows whose key is in a sample of at most ``bound`` rows, which is small enough to be sent to every task.
+
+    A sample drawn beyond the bound is cut to it: it only chooses what a model learns from.
+    """
+    return rows.join(F.broadcast(sample.limit(bound)), key)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stratified_sample
+from .common import crc_mod, sampled_rows, stratified_sample
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLOCK = 1 << 20
@@ -132,17 +132,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(F.col(id_col), 3) == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(doc_id, text, label) of labelled rows outside the held-out fold; the first of repeated labels by value."""
-    own = labels.where(~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias(label_col))
-    return docs.select(id_col, "text").join(own, id_col)
-
-
 def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model | None:
     """Sample the labels first, so that only chosen texts are joined to them."""
     own = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = stratified_sample(own.where(F.col("quality").isin(0, 1)), "quality", "doc_id", per_label)
-    return fit(docs.select("doc_id", "text").join(own, "doc_id"), per_label=2 * per_label)
+    return fit(sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 4 * per_label), per_label=4 * per_label)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

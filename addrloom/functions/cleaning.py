@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,13 @@ from .text import normalize_spaces, s
 
 
 def _map(table: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+    """A constant map as one expression, folded when the query is planned."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed, and stands in the plan, once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
@@ -23,7 +30,10 @@ def clean(c: Column | str) -> Column:
     """Without byte-order mark and outer quotes, single spaces; markers of missing values are ''."""
     text = F.trim(F.replace(s(c), F.lit("﻿"), F.lit("")))
     text = normalize_spaces(F.regexp_replace(text, "^['\"]+|['\"]+$", ""))
-    return F.when(F.upper(text).isin(*v.MISSING), "").otherwise(text)
+    return F.regexp_replace(text, _MISSING, "")
+
+
+_MISSING = "(?i)^(" + "|".join(x for x in v.MISSING if x) + ")$"
 
 
 def token(c: Column | str) -> Column:
@@ -76,7 +86,7 @@ def house_number(c: Column | str) -> Column:
             .otherwise(F.substring(F.trim(x, F.lit(",;")), 1, 24))
         )
 
-    return F.element_at(F.transform(F.array(text), made), 1)
+    return let(text, made)
 
 
 def zip_code(c) -> Column:
@@ -95,8 +105,7 @@ def place(c) -> Column:
     """City name without 'City of' or 'County', titled; '' for placeholders."""
     text = F.trim(F.regexp_replace(F.replace(clean(c), F.lit("_"), F.lit(" ")), r"\s+", " "), F.lit(" ,"))
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)^(city|town|village)\s+of\s+", ""), r"(?i)\s+(city|town|village|county)$", "")
-    out = title(text)
-    return F.when(F.regexp_replace(F.upper(out), "[^A-Z0-9]+", "").isin(*v.PLACE_PLACEHOLDERS), "").otherwise(out)
+    return let(title(text), lambda out: F.when(F.regexp_replace(F.upper(out), "[^A-Z0-9]+", "").isin(*v.PLACE_PLACEHOLDERS), "").otherwise(out))
 
 
 def street_name(c) -> Column:
@@ -108,33 +117,35 @@ def without_side(c) -> Column:
     return F.regexp_replace(clean(c), v.SIDE_OF_ROAD, "")
 
 
+_DESCRIPTOR = (
+    rf"^$|^({'|'.join(v.DESCRIPTOR_STARTS)})( |$)|^({'|'.join(v.DIRECTION_CODES)}|CORNER) OF( |$)"
+    rf"|^({'|'.join(v.DESCRIPTOR_LAND)}) ({'|'.join(v.DESCRIPTOR_WHERE)})( |$)|{v.DESCRIPTOR_DATE[4:]}"
+)
+
+
 def is_descriptor(c) -> Column:
     """Lines that tell where a parcel lies rather than its address."""
-    text = F.upper(street_name(without_side(c)))
-    words = F.split(text, " ")
-    one, two = F.try_element_at(words, F.lit(1)), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
-    of = two == "OF"
-    return (
-        (text == "") | one.isin(*v.DESCRIPTOR_STARTS) | (one.isin(*v.DIRECTION_CODES) & of) | ((one == "CORNER") & of)
-        | (one.isin(*v.DESCRIPTOR_LAND) & two.isin(*v.DESCRIPTOR_WHERE)) | text.rlike(v.DESCRIPTOR_DATE)
-    )
+    return F.upper(street_name(without_side(c))).rlike(_DESCRIPTOR)
 
 
 def without_last_type(name: Column, kind: Column) -> Column:
     """Street name without a last word that repeats the type."""
-    words = F.split(name, " ")
-    repeats = (kind != "") & (F.size(words) > 1) & (street_type(F.element_at(words, -1)) == kind)
-    return F.when(repeats, street_name(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), " "))).otherwise(name)
+    last = street_type(F.regexp_extract(name, r" (\S+)$", 1))
+    return F.when((kind != "") & (last == kind), F.regexp_replace(name, r" \S+$", "")).otherwise(name)
 
 
 def unit(c) -> Column:
     """struct(unit_type, unit_value): a known type and the rest, or UNIT and all; 24 characters."""
-    text = clean(c)
-    words = F.filter(F.split(F.replace(text, F.lit("#"), F.lit(" # ")), r"\s+"), lambda w: w != "")
-    kind = unit_type(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")))
-    rest = F.array_join(F.slice(words, 2, 1000), " ")
-    value = F.when((kind != "") & (rest != ""), rest).otherwise(text)
-    return F.struct(F.when(text == "", "").when(kind != "", kind).otherwise("UNIT").alias("unit_type"), F.substring(F.upper(value), 1, 24).alias("unit_value"))
+
+    def made(x: Column) -> Column:
+        value = F.when((x.kind != "") & (x.rest != ""), x.rest).otherwise(x.text)
+        return F.struct(F.when(x.text == "", "").when(x.kind != "", x.kind).otherwise("UNIT").alias("unit_type"), F.substring(F.upper(value), 1, 24).alias("unit_value"))
+
+    def split(text: Column) -> Column:
+        words = F.regexp_replace(F.trim(F.replace(text, F.lit("#"), F.lit(" # "))), r"\s+", " ")
+        return F.struct(text.alias("text"), unit_type(F.substring_index(words, " ", 1)).alias("kind"), F.regexp_replace(words, r"^\S+ ?", "").alias("rest"))
+
+    return let(let(clean(c), split), made)
 
 
 _HOUSE_LINE = r"(?i)^\s*([0-9]+[A-Z0-9\-/]*)\s+(.+)$"
@@ -142,37 +153,30 @@ _HOUSE_LINE = r"(?i)^\s*([0-9]+[A-Z0-9\-/]*)\s+(.+)$"
 
 def split_house(line: Column) -> Column:
     """struct(house, rest): a leading number and what follows, or '' and the whole line."""
-    found = line.rlike(_HOUSE_LINE)
-    return F.struct(F.when(found, house_number(F.regexp_extract(line, _HOUSE_LINE, 1))).otherwise("").alias("house"), F.when(found, F.regexp_extract(line, _HOUSE_LINE, 2)).otherwise(line).alias("rest"))
+    house = house_number(F.regexp_extract(line, _HOUSE_LINE, 1))
+    return F.struct(house.alias("house"), F.regexp_replace(line, _HOUSE_LINE, "$2").alias("rest"))
 
 
 def street_parts(line) -> Column:
     """struct(predir, street_name, street_type, suffixdir) of a street line."""
-    text = street_name(without_side(line))
-
-    def named(c: Column) -> Column:
-        words = F.filter(F.split(c, " "), lambda w: w != "")
-        tail = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
-        head = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-        let = lambda a, f: F.element_at(F.transform(F.array(a), f), 1)
-        last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
-        first = lambda a: F.coalesce(F.try_element_at(a, F.lit(1)), F.lit(""))
-        step1 = let(words, lambda w: F.struct(direction(first(w)).alias("pre"), w.alias("w")))
-        step2 = let(step1, lambda x: F.struct(x.pre.alias("pre"), F.when(x.pre != "", tail(x.w)).otherwise(x.w).alias("w")))
-        step3 = let(step2, lambda x: F.struct(x.pre.alias("pre"), direction(last(x.w)).alias("suf"), x.w.alias("w")))
-        step4 = let(step3, lambda x: F.struct(x.pre.alias("pre"), x.suf.alias("suf"), F.when(x.suf != "", head(x.w)).otherwise(x.w).alias("w")))
-        step5 = let(step4, lambda x: F.struct(x.pre.alias("pre"), x.suf.alias("suf"), street_type(last(x.w)).alias("kind"), x.w.alias("w")))
-        step6 = let(step5, lambda x: F.struct(x.pre.alias("pre"), x.suf.alias("suf"), x.kind.alias("kind"), F.when(x.kind != "", head(x.w)).otherwise(x.w).alias("w")))
-
-        def done(x: Column) -> Column:
-            whole = (F.size(x.w) == 0) & (x.pre != "") & (x.kind != "")
-            name = F.when(whole, title(lookup(v.DIRECTIONS, x.pre))).otherwise(F.array_join(x.w, " "))
-            name = F.when(name == "", c).otherwise(name)
-            return F.struct(F.when(whole, "").otherwise(x.pre).alias("predir"), without_last_type(name, x.kind).alias("street_name"), x.kind.alias("street_type"), x.suf.alias("suffixdir"))
-
-        return let(step6, done)
-
-    return F.element_at(F.transform(F.array(text), named), 1)
+    first, last = r"^(\S+) ?", r" ?(\S+)$"
+
+    def before(c: Column) -> Column:
+        return let(direction(F.regexp_extract(c, first, 1)), lambda d: F.struct(c.alias("all"), d.alias("pre"), F.when(d != "", F.regexp_replace(c, first, "")).otherwise(c).alias("rest")))
+
+    def after(x: Column) -> Column:
+        return let(direction(F.regexp_extract(x.rest, last, 1)), lambda d: F.struct(x["all"].alias("all"), x.pre.alias("pre"), d.alias("suf"), F.when(d != "", F.regexp_replace(x.rest, last, "")).otherwise(x.rest).alias("rest")))
+
+    def typed(x: Column) -> Column:
+        return let(street_type(F.regexp_extract(x.rest, last, 1)), lambda k: F.struct(x["all"].alias("all"), x.pre.alias("pre"), x.suf.alias("suf"), k.alias("kind"), F.when(k != "", F.regexp_replace(x.rest, last, "")).otherwise(x.rest).alias("rest")))
+
+    def done(x: Column) -> Column:
+        whole = (x.rest == "") & (x.pre != "") & (x.kind != "")
+        name = F.when(whole, F.initcap(lookup(v.DIRECTIONS, x.pre))).when(x.rest == "", x["all"]).otherwise(x.rest)
+        named = let(name, lambda n: without_last_type(n, x.kind))
+        return F.struct(F.when(whole, "").otherwise(x.pre).alias("predir"), named.alias("street_name"), x.kind.alias("street_type"), x.suf.alias("suffixdir"))
+
+    return let(let(let(let(street_name(without_side(line)), before), after), typed), done)
 
 
 def any_of(conditions) -> Column:

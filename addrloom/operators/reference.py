@@ -76,8 +76,8 @@ def augment(primary: DataFrame, extra: DataFrame, prefix: str = "AUG") -> tuple[
     renamed = renamed.withColumn("address_id", F.format_string(f"{prefix}_%07d", F.col("_k")))
     rows = own.select(*primary.columns).unionByName(marked.where("NOT _clash").select(*primary.columns)).unionByName(renamed.select(*primary.columns))
     stats = first.agg(
-        F.count_if("_side = 0").alias("primary_rows"), F.count_if("_side = 1").alias("extra_rows"), F.count_if("_side = 1 AND _n = 1").alias("added_rows"),
-        F.count_if("_side = 1 AND _n > 1").alias("duplicate_rows"), F.count_if("_n = 1").alias("total_rows"),
+        F.count_if(F.expr("_side = 0")).alias("primary_rows"), F.count_if(F.expr("_side = 1")).alias("extra_rows"), F.count_if(F.expr("_side = 1 AND _n = 1")).alias("added_rows"),
+        F.count_if(F.expr("_side = 1 AND _n > 1")).alias("duplicate_rows"), F.count_if(F.expr("_n = 1")).alias("total_rows"),
     ).crossJoin(renamed.agg(F.count(F.lit(1)).alias("renamed_ids")))
     return rows, stats
 

@@ -51,34 +51,47 @@ class Row:
         return F.concat_ws(" ", *(F.nullif(c.clean(F.col(f"`{n}`")), F.lit("")) for n in self.names.values()))
 
 
+class Steps:
+    """A table that gains a column per step, so that no expression holds another one twice."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.n = df, 0
+
+    def __call__(self, c: Column) -> Column:
+        self.n += 1
+        self.df = self.df.withColumn(f"_step{self.n}", c)
+        return F.col(f"_step{self.n}")
+
+
 def _or(a: Column, b: Column) -> Column:
     return F.when(a != "", a).otherwise(b)
 
 
-def _own_house(house: Column, line: Column) -> tuple[Column, Column]:
+def _own_house(let: Steps, house: Column, line: Column) -> tuple[Column, Column]:
     """House and street, where the line may start with the number."""
-    found = c.split_house(line)
-    return F.when(house == "", found.house).otherwise(house), F.when((house == "") | (found.house == house), found.rest).otherwise(line)
+    house, line = let(house), let(line)
+    found = let(c.split_house(line))
+    return let(F.when(house == "", found.house).otherwise(house)), let(F.when((house == "") | (found.house == house), found.rest).otherwise(line))
 
 
-def _openaddresses(r: Row, state: str) -> dict[str, Column]:
-    house, line = _own_house(r.get("NUMBER", f=c.house_number), r.get("STREET"))
-    street, unit = c.street_parts(line), c.unit(r.get("UNIT"))
+def _openaddresses(let: Steps, r: Row, state: str) -> dict[str, Column]:
+    house, line = _own_house(let, r.get("NUMBER", f=c.house_number), r.get("STREET"))
+    street, unit = let(c.street_parts(line)), let(c.unit(let(r.get("UNIT"))))
     return {
         "house_number": house, **{p: street[p] for p in PARTS[1:5]}, "unit_type": unit.unit_type, "unit_value": unit.unit_value,
         "city": r.get("CITY", "DISTRICT", "LOCALITY", f=c.place), "state": _or(c.state(r.get("REGION", "STATE")), F.lit(state)), "zip_code": c.zip_code(r.get("POSTCODE", "ZIP", "ZIP_CODE")),
     }
 
 
-def _nad(r: Row, state: str) -> dict[str, Column]:
-    house = _or(c.house_number(r.get("AddNo_Full")), c.house_number(F.concat_ws(" ", *(F.nullif(r.get(n), F.lit("")) for n in ("AddNum_Pre", "Add_Number", "AddNum_Suf")))))
-    kind = c.street_type(r.get("St_PosTyp"))
+def _nad(let: Steps, r: Row, state: str) -> dict[str, Column]:
+    house = _or(let(c.house_number(r.get("AddNo_Full"))), c.house_number(F.concat_ws(" ", *(F.nullif(r.get(n), F.lit("")) for n in ("AddNum_Pre", "Add_Number", "AddNum_Suf")))))
+    kind = let(c.street_type(r.get("St_PosTyp")))
     words = (r.get("St_PreMod"), F.when(kind == "", r.get("St_PreTyp")).otherwise(""), r.get("St_Name"), r.get("St_PosMod"))
-    name = c.street_name(F.concat_ws(" ", *(F.nullif(w, F.lit("")) for w in words)))
-    whole = c.street_parts(r.get("StNam_Full"))
+    name = let(c.street_name(let(F.concat_ws(" ", *(F.nullif(w, F.lit("")) for w in words)))))
+    whole = let(c.street_parts(let(r.get("StNam_Full"))))
     lacks = name == ""
     filled = lambda own, p: F.when(lacks & (own == ""), whole[p]).otherwise(own)
-    units = [c.unit(r.get(n)) for n in ("Unit", "Room", "Building", "Floor")]
+    units = [let(c.unit(let(r.get(n)))) for n in ("Unit", "Room", "Building", "Floor")]
     first = F.coalesce(*(F.when(u.unit_type != "", u) for u in units), units[0])
     return {
         "house_number": house, "predir": filled(c.direction(r.get("St_PreDir")), "predir"), "street_name": F.when(lacks, whole.street_name).otherwise(name),
@@ -87,8 +100,8 @@ def _nad(r: Row, state: str) -> dict[str, Column]:
     }
 
 
-def _generic(r: Row, state: str) -> dict[str, Column]:
-    kind = r.get("street_type", "road_type", "type")
+def _generic(let: Steps, r: Row, state: str) -> dict[str, Column]:
+    kind = let(r.get("street_type", "road_type", "type"))
     own = {
         "house_number": r.get("house_number", "number", "addr_num", "address_number", f=c.house_number), "predir": c.direction(r.get("predir", "pre_dir", "prefix_direction")),
         "street_name": c.street_name(r.get("street_name", "road_name", "name")), "street_type": _or(c.street_type(kind), c.token(kind)),
@@ -96,42 +109,43 @@ def _generic(r: Row, state: str) -> dict[str, Column]:
         "unit_value": F.substring(F.upper(r.get("unit_value", "unit", "suite", "apt")), 1, 24), "city": r.get(*v.CITY_FIELDS, f=c.place),
         "state": _or(c.state(r.get(*v.STATE_FIELDS)), F.lit(state)), "zip_code": c.zip_code(r.get(*v.ZIP_FIELDS)),
     }
+    own = {p: let(x) for p, x in own.items()}
     if not any(n in r.names for n in v.FULL_ADDRESS_FIELDS):
         return own
     line = F.when((own["house_number"] == "") | (own["street_name"] == ""), r.get(*v.FULL_ADDRESS_FIELDS)).otherwise("")
-    read = full_address(line, own["city"], own["state"], own["zip_code"])
-    found = c.split_house(read.street)
-    street = c.street_parts(found.rest)
+    read = let(full_address(let(line), own["city"], own["state"], own["zip_code"]))
+    found = let(c.split_house(read.street))
+    street = let(c.street_parts(found.rest))
     whole = {"house_number": found.house, **{p: street[p] for p in PARTS[1:5]}, "city": c.place(read.city), "state": read.state, "zip_code": read.zip_code}
     return {p: _or(own[p], F.coalesce(whole[p], F.lit(""))) if p in whole else own[p] for p in PARTS}
 
 
-def _maris(r: Row, state: str) -> dict[str, Column]:
-    general = r.get("ADDRESS")
-    line = r.get("STREET_ADD", "FULL_ADDR", "FullAddr", "FULL_ADDRE")
+def _maris(let: Steps, r: Row, state: str) -> dict[str, Column]:
+    general, line = let(r.get("ADDRESS")), let(r.get("STREET_ADD", "FULL_ADDR", "FullAddr", "FULL_ADDRE"))
     line = F.when((line == "") & general.rlike(r"\d") & general.rlike("[A-Za-z]") & general.contains(" "), general).otherwise(line)
-    house, line = _own_house(r.get("ADDR_NUM", "ADDRESS_NU", "ADDRNUM", "NUMBER", "STNUM", "ST_NUMBER", "ADDRESS", "AddPre", "STNUM_L", f=c.house_number), line)
-    base = r.get("ROAD_NAME", "ROAD_NAME_", "NAME", "STREET_NAM", "ST_NAME", "Street", "ST_NAME_1", "LgcyStreet", "LABEL", f=c.street_name)
+    house, line = _own_house(let, r.get("ADDR_NUM", "ADDRESS_NU", "ADDRNUM", "NUMBER", "STNUM", "ST_NUMBER", "ADDRESS", "AddPre", "STNUM_L", f=c.house_number), line)
+    base = let(r.get("ROAD_NAME", "ROAD_NAME_", "NAME", "STREET_NAM", "ST_NAME", "Street", "ST_NAME_1", "LgcyStreet", "LABEL", f=c.street_name))
     before = c.street_name(r.get("PreMod"))
-    name = c.street_name(F.concat_ws(" ", F.nullif(before, F.lit("")), F.nullif(base, F.lit(""))))
-    kind = r.get("TYPE", "ROAD_TYPE", "STREET_TYP", "ST_TYPE", "ST_TYPE_1", "ST_TYPE_2", "StreetType", "LgcyType", "TYPE_1", "TYPE_2", f=c.street_type)
+    name = let(c.street_name(let(F.concat_ws(" ", F.nullif(before, F.lit("")), F.nullif(base, F.lit(""))))))
+    kind = let(r.get("TYPE", "ROAD_TYPE", "STREET_TYP", "ST_TYPE", "ST_TYPE_1", "ST_TYPE_2", "StreetType", "LgcyType", "TYPE_1", "TYPE_2", f=c.street_type))
     # a type still missing may end the base name, the full name or the line: the first that splits gives all it has
     usable = []
     for text in (base, r.get("FULLNAME", "StNam_Full"), line):
-        own = c.street_name(text)
-        got = c.street_parts(own)
+        own = let(c.street_name(let(text)))
+        got = let(c.street_parts(own))
         splits = got.street_type.isin(*v.STREET_TYPES) & (got.street_name != "") & (c.token(got.street_name) != c.token(own))
         usable.append(F.when((own != "") & splits, F.struct(got.alias("got"), own.alias("own"))))
-    fallback = F.when(kind == "", F.coalesce(*usable))
+    fallback = let(F.when(kind == "", F.coalesce(*usable)))
     has = fallback.isNotNull()
     renamed = has & ((name == "") | (c.token(name) == c.token(fallback.own)))
-    pre = c.direction(r.get("PRE_DIR", "PREDIR", "PREFIX_DIR", "ST_PREFIXD", "ST_PREDIR", "LgcyPreDir"))
-    post = c.direction(r.get("POST_DIR", "SUFDIR", "SUFFIX_DIR", "ST_SUFFIXD", "ST_POSTDIR", "LgcySufDir"))
+    pre = let(c.direction(r.get("PRE_DIR", "PREDIR", "PREFIX_DIR", "ST_PREFIXD", "ST_PREDIR", "LgcyPreDir")))
+    post = let(c.direction(r.get("POST_DIR", "SUFDIR", "SUFFIX_DIR", "ST_SUFFIXD", "ST_POSTDIR", "LgcySufDir")))
     filled = lambda own, p: F.when(has & (own == ""), fallback.got[p]).otherwise(own)
     street = {"predir": filled(pre, "predir"), "street_name": F.when(renamed, fallback.got.street_name).otherwise(name), "street_type": filled(kind, "street_type"), "suffixdir": filled(post, "suffixdir")}
-    whole, lacks = c.street_parts(line), street["street_name"] == ""
-    value = F.substring(F.upper(r.get("UNIT", "UNIT_ID", "UNIT_NUM", "BldgUnit", "BLDG_UNITS", "Room", "Floor", "BUILDING")), 1, 24)
-    own_unit, parsed = c.unit_type(r.get("UNIT_TYPE")), c.unit(value)
+    street = {p: let(x) for p, x in street.items()}
+    whole, lacks = let(c.street_parts(line)), street["street_name"] == ""
+    value = let(F.substring(F.upper(r.get("UNIT", "UNIT_ID", "UNIT_NUM", "BldgUnit", "BLDG_UNITS", "Room", "Floor", "BUILDING")), 1, 24))
+    own_unit, parsed = let(c.unit_type(r.get("UNIT_TYPE"))), let(c.unit(value))
     bare = (value != "") & (own_unit == "")
     return {
         "house_number": house, **{p: F.when(lacks & (x == ""), whole[p]).otherwise(x) for p, x in street.items()},
@@ -140,9 +154,9 @@ def _maris(r: Row, state: str) -> dict[str, Column]:
     }
 
 
-def _parcels(r: Row, state: str) -> dict[str, Column]:
-    found = c.split_house(r.get(*v.PARCEL_LINE_FIELDS))
-    street = c.street_parts(found.rest)
+def _parcels(let: Steps, r: Row, state: str) -> dict[str, Column]:
+    found = let(c.split_house(let(r.get(*v.PARCEL_LINE_FIELDS))))
+    street = let(c.street_parts(found.rest))
     return {
         "house_number": F.when(c.is_descriptor(found.rest), "").otherwise(found.house), **{p: street[p] for p in PARTS[1:5]}, "unit_type": F.lit(""), "unit_value": F.lit(""),
         "city": r.get(*v.PARCEL_CITY_FIELDS, f=c.place), "state": _or(c.state(r.get("SSTATE", "STATE")), F.lit(state or "MS")), "zip_code": c.zip_code(r.get(*v.PARCEL_ZIP_FIELDS)),
@@ -156,23 +170,23 @@ _HOUSE_FIELDS = ("NUMBER", "ADDR_NUM", "ADDRESS_NU", "ADDRNUM", "STNUM", "ST_NUM
 _STREET_FIELDS = ("STREET", "ROAD_NAME", "ROAD_NAME_", "NAME", "STREET_NAM", "ST_NAME", "FULLNAME", "StNam_Full", "SITEADD", "ADDR", "ADDRESS")
 
 
-def reject_reason(r: Row, kind: str, state: str) -> Column:
+def reject_reason(let: Steps, r: Row, kind: str, state: str) -> Column:
     """Why a row that gave no address was refused, by the first reason that holds."""
     given = {"nad": ("State",), "maris_parcels": ("SSTATE", "STATE"), "generic": v.STATE_FIELDS, "address_record": v.STATE_FIELDS}.get(kind, ("REGION", "STATE", "SSTATE"))
-    own = c.state(r.get(*given))
-    own = own if kind == "nad" else _or(own, F.lit(state))
+    own = let(c.state(let(r.get(*given))))
+    own = own if kind == "nad" else let(_or(own, F.lit(state)))
     cities, zips = _LOCAL.get(kind, _OTHER_LOCAL)
-    zip_code = c.zip_code(r.get(*zips))
+    zip_code = let(c.zip_code(r.get(*zips)))
     county_only = c.token(r.get("LOCALITY_STATUS")) == v.COUNTY_ONLY_STATUS.replace("_", "").upper()
     house = c.any_of(c.house_number(r(n)) != "" for n in _HOUSE_FIELDS if r(n) is not None)
-    street = c.clean(F.concat_ws(" ", *(c.clean(r(n)) for n in _STREET_FIELDS if r(n) is not None), F.lit("")))
+    street = let(c.clean(let(F.concat_ws(" ", *(c.clean(r(n)) for n in _STREET_FIELDS if r(n) is not None), F.lit("")))))
     if kind == "maris_parcels":
-        street = c.split_house(r.get(*v.PARCEL_LINE_FIELDS)).rest
+        street = let(c.split_house(let(r.get(*v.PARCEL_LINE_FIELDS))).rest)
     return (
         F.when((F.lit(state) != "") & (own != "") & (own != state), "state_mismatch")
         .when((zip_code != "") & (own != "") & ~c.zip_fits_state(zip_code, own), "non_ms_zip")
         .when((r.get(*cities, f=c.place) == "") & (zip_code == "") & ~county_only, "missing_locality")
-        .when(~house & (c.split_house(r.all()).house == ""), "missing_or_invalid_house_number")
+        .when(~house & (c.split_house(let(r.all())).house == ""), "missing_or_invalid_house_number")
         .when((street != "") & c.is_descriptor(street), "parcel_location_descriptor")
         .when(street == "", "missing_street").otherwise("unparseable")
     )
@@ -184,14 +198,14 @@ def project(rows: DataFrame, kind: str = "auto", state: str = "MS", order: list[
     ``order`` names the columns that keep the order of the source.
     """
     kind = detect(rows.columns, kind)
-    r = Row(rows)
-    parts = PROJECTIONS[kind](r, state)
+    r, let = Row(rows), Steps(rows)
+    parts = {p: let(x) for p, x in PROJECTIONS[kind](let, r, state).items()}
     extra = order or []
     county_only = (c.token(r.get("LOCALITY_STATUS")) == v.COUNTY_ONLY_STATUS.replace("_", "").upper()) & (kind == "openaddresses")
     with_county = county_only & (F.lit(state or "MS") == "MS") & (r.get("COUNTY", "COVERAGE_COUNTY") != "")
     quality = F.when(county_only, F.lit(v.COUNTY_ONLY_QUALITY)).otherwise(F.lit(v.SOURCE_QUALITY.get(kind, v.OTHER_QUALITY)))
-    base = rows.select(*extra, F.struct(*(x.alias(p) for p, x in parts.items())).alias("_p"), quality.alias("source_quality"), with_county.alias("_county"), reject_reason(r, kind, state).alias("_why"))
-    base = base.select(*extra, "_p.*", "source_quality", "_county", "_why")
+    why = reject_reason(let, r, kind, state)
+    base = let.df.select(*extra, *(x.alias(p) for p, x in parts.items()), quality.alias("source_quality"), with_county.alias("_county"), why.alias("_why"))
     for (st, zip_code, city, street, type_), right in v.STREET_CORRECTIONS.items():
         hit = (F.upper("state") == st) & (F.col("zip_code") == zip_code) & (F.upper("city") == city) & (F.upper("street_name") == street) & (F.upper("street_type") == type_)
         base = base.withColumn("street_name", F.when(hit, right).otherwise(F.col("street_name")))
@@ -200,9 +214,10 @@ def project(rows: DataFrame, kind: str = "auto", state: str = "MS", order: list[
     usable = (
         (F.col("house_number") != "") & (F.col("street_name") != "") & (F.col("state") != "") & (located | F.lit(kind in ("generic", "address_record")))
         & ((F.lit(state) == "") | (F.col("state") == state)) & c.zip_fits_state(F.col("zip_code"), F.col("state"))
-        & ~c.is_descriptor(F.concat_ws(" ", "street_name", F.nullif(F.col("street_type"), F.lit(""))))
+        & ~c.is_descriptor("_line")
     )
-    out = base.withColumn("reject", F.when(usable, "").otherwise(F.col("_why"))).drop("_county", "_why").withColumn("canonical_address", canonical_line())
+    base = base.withColumn("_line", F.concat_ws(" ", "street_name", F.nullif(F.col("street_type"), F.lit(""))))
+    out = base.withColumn("reject", F.when(usable, "").otherwise(F.col("_why"))).drop("_county", "_why", "_line").withColumn("canonical_address", canonical_line())
     return out.withColumn("dedupe_key", query_key("canonical_address"))
 
 

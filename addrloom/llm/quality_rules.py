@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stratified_sample
+from .common import sampled_rows, stratified_sample
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400, most_lines: in
             found = [(key, q, line_features(text or "")[0][:most_lines].astype("<f4").tobytes()) for key, q, text in zip(pdf["_order"], pdf["quality"], pdf["text"])]
             yield pd.DataFrame(found, columns=["o", "q", "x"])
 
-    got = docs.select("doc_id", "text").join(own, "doc_id").select(F.xxhash64(F.lit(6), "doc_id").alias("_order"), "quality", "text").mapInPandas(sparse, "o long, q int, x binary").collect()
+    got = sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 4 * per_label).select(F.xxhash64(F.lit(6), "doc_id").alias("_order"), "quality", "text").mapInPandas(sparse, "o long, q int, x binary").collect()
     rows = [(np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(np.float64), q) for _, q, x in sorted(got) if x]
     return train([(x, weak_labels(x, q)) for x, q in rows]) if rows else None
 

@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,16 +72,28 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of the ids and the bit offset of every STEP-th of them."""
-    n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    at = end - n
-    total = int(end[-1]) if len(ids) else 0
-    word, value = at >> 5, codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
-    words = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=(total >> 5) + 2)
-    low = np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=len(words))
-    words = words + low[: len(words)] if len(low) <= len(words) else low + np.pad(words, (0, len(low) - len(words)))
-    return words.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], at[::STEP].copy()
+    """Bits of the ids and the bit offset of every STEP-th of them.
+
+    Neighbouring codes join to words of up to 64 bits first, so only a fourth
+    of the ids (half, if codes are longer than 16 bits) is placed one by one.
+    """
+    joins = 2 if int(lengths.max(initial=0)) <= 16 else 1
+    pad = -len(ids) % (1 << joins)
+    size, value = np.pad(lengths[ids].astype(np.uint64), (0, pad)), np.pad(codes[ids], (0, pad))
+    for _ in range(joins):
+        value = value[::2] << size[1::2] | value[1::2]
+        size = size[::2] + size[1::2]
+    end = np.cumsum(size)
+    at, total = end - size, int(end[-1]) if len(end) else 0
+    words = np.zeros((total >> 6) + 2, dtype=np.uint64)
+    if total:
+        left = value << (np.uint64(64) - size)  # no group of ids is empty
+        word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[starts]] |= np.bitwise_or.reduceat(left >> off, starts)
+        low = np.where(off > 0, left << (np.uint64(64) - off & np.uint64(63)), np.uint64(0))
+        words[word[starts] + 1] |= np.bitwise_or.reduceat(low, starts)
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], at[:: STEP >> joins].astype(np.int64)
 
 
 class Decoder:
@@ -88,15 +101,15 @@ class Decoder:
 
     def __init__(self, lengths: np.ndarray):
         self.bits = int(lengths.max()) if len(lengths) else 0
-        self.symbol, self.length = np.zeros(1 << self.bits, dtype=np.uint32), np.zeros(1 << self.bits, dtype=np.int64)
+        #: by the next bits: symbol and, in the low byte, length
+        self.table = np.zeros(1 << self.bits, dtype=np.int64)
         codes = canonical_codes(lengths)
         used = np.flatnonzero(lengths)
         used = used[np.lexsort((used, lengths[used]))]
         spread = 1 << (self.bits - lengths[used].astype(np.int64))
         first = int(codes[used[0]]) << (self.bits - int(lengths[used[0]])) if len(used) else 0
         assert first == 0
-        self.symbol[: spread.sum()] = np.repeat(used, spread)
-        self.length[: spread.sum()] = np.repeat(lengths[used].astype(np.int64), spread)
+        self.table[: spread.sum()] = np.repeat(used << 8 | lengths[used].astype(np.int64), spread)
 
     def __call__(self, data: bytes, marks: np.ndarray, n: int) -> np.ndarray:
         if not n:
@@ -107,8 +120,9 @@ class Decoder:
         top, shift = len(window) - 1, np.uint32(32 - self.bits)
         for k in range(STEP):
             look = (window[np.minimum(at >> 3, top)] << (at & 7).astype(np.uint32)) >> shift
-            out[k] = self.symbol[look]
-            at += self.length[look]
+            found = self.table[look]
+            out[k] = found >> 8
+            at += found & 255
         return out.T.reshape(-1)[:n]  # past the last id of the last checkpoint nothing counts
 
 
@@ -118,15 +132,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "d
     def encode(batches):
         from .tokens import encoder
 
-        own, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
+        end = np.array([end_id], dtype="<u4")
+        for b in batches:
             blobs = []
-            for text in pdf[text_col]:
-                ids = np.frombuffer(own(text or "") + end, dtype="<u4")
+            for own in encoder(tokenizer).many(b.column(1)):
+                ids = np.concatenate([own, end])
                 blobs.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
-            yield pd.DataFrame({"doc_id": pdf[id_col].astype("Int64"), "ids": blobs})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInPandas(encode, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_id long, ids binary")
 
 
 def _ids(blob: bytes) -> np.ndarray:
@@ -139,8 +153,8 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            for blob in pdf["ids"]:
-                own = np.bincount(_ids(blob))
+            for start in range(0, len(pdf), 2000):
+                own = np.bincount(np.concatenate([_ids(x) for x in pdf["ids"].iloc[start : start + 2000]]))
                 if len(own) > len(total):
                     total = np.pad(total, (0, len(own) - len(total)))
                 total[: len(own)] += own
@@ -178,7 +192,7 @@ def write(tokens: DataFrame, path: str, limit: int = 16, block_ids: int = BLOCK_
             for doc, blob in zip(pdf["doc_id"].astype("Int64"), pdf["ids"]):
                 ids = _ids(blob)
                 docs.append(doc)
-                held.append(ids.astype(np.int64))
+                held.append(ids)
                 n += len(ids)
                 if n >= block_ids:
                     yield closed(docs, held)
@@ -192,8 +206,8 @@ def write(tokens: DataFrame, path: str, limit: int = 16, block_ids: int = BLOCK_
     ordered.mapInPandas(encode, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit) of every document of the files."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit; null without ``with_ids``) of every document of the files."""
     rows = spark.read.schema("id long, bits int").parquet(f"{path}/codebook").collect()  # a row per id of the vocabulary
     lengths = np.zeros(max((r[0] for r in rows), default=-1) + 1, dtype=np.uint8)
     for i, bits in rows:
@@ -212,8 +226,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 data = memoryview(decoder(row.bits, np.frombuffer(row.marks, dtype="<u8"), row.n_ids).astype("<u4").tobytes())
                 ends = np.cumsum(row.counts)
                 starts = ends - row.counts
-                ids = [bytes(data[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({"part": row.part, "doc_id": pd.array([None if pd.isna(d) else int(d) for d in row.doc_ids], dtype="Int64"), "at": row.ids_before + starts, "n_tokens": row.counts, "ids_crc32": [zlib.crc32(x) for x in ids], "ids": ids})
+                ids = [data[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                yield pd.DataFrame({"part": row.part, "doc_id": pd.array([None if pd.isna(d) else int(d) for d in row.doc_ids], dtype="Int64"), "at": row.ids_before + starts, "n_tokens": row.counts, "ids_crc32": [zlib.crc32(x) for x in ids], "ids": [bytes(x) for x in ids] if with_ids else None})
 
     docs = blocks.mapInPandas(decode, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
@@ -228,4 +242,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
     tokens = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     path = scratch_path(docs.sparkSession, "huffman")
     write(tokens, path)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, with_ids=False).drop("ids")

@@ -13,7 +13,7 @@ import zlib
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,20 +212,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def cut(batches):
         from .tokens import encoder
 
-        encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
+        end = np.array([end_id], dtype="<u4")
+        for b in batches:
             rows = []
-            for key, text in zip(pdf[id_col], pdf[text_col]):
-                data = memoryview(encode(text or "") + end)
+            for row, ids in enumerate(encoder(tokenizer).many(b.column(1))):
+                data = memoryview(np.concatenate([ids, end]).tobytes())
                 n = len(data) // 4
                 first = (n - 1) % capacity + 1
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
                     length = first if start == 0 else capacity
-                    rows.append((key, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
-            yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"]).astype({id_col: pdf[id_col].dtype} if not pdf[id_col].isna().any() else {})
+                    rows.append((row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+            if rows:
+                row, piece, *rest = (np.array(c) for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)], [id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = column_type(docs, id_col).simpleString()
-    return docs.select(id_col, text_col).mapInPandas(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

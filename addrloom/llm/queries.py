@@ -49,7 +49,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.round_trip(dataset(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return huffman.round_trip(dataset(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

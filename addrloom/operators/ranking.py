@@ -168,14 +168,14 @@ def _with_rows(pairs: DataFrame, read: DataFrame, ref: DataFrame) -> DataFrame:
     return pairs.join(read.select("raw", "stage2"), "raw").join(ref.select("address_id", row.alias("row")), "address_id")
 
 
-def candidates(read: DataFrame, ref: DataFrame, base: int = BASE_LIMIT) -> DataFrame:
+def candidates(read: DataFrame, ref: DataFrame, base: int = BASE_LIMIT, keep=lambda df: df) -> DataFrame:
     """raw, address_id, cand_ord: the k best rows of each text's pool by generation score, then block score.
 
     Texts whose keys hit nothing but that have a street meet the whole table, as
     blocks of it; such texts are rare, and only their own scores are kept.
     """
     variants = read.select("raw", F.posexplode("stage2").alias("variant", "_v")).select("raw", "variant", "_v.*")
-    pool = blocked(variants, ref, base)
+    pool = keep(blocked(variants, ref, base))
     limits = variants.where("variant = 0").select("raw", candidate_limit(base).alias("k"))
     lost = variants.where("street_name != ''").select("raw").distinct().join(pool.select("raw").distinct(), "raw", "left_anti")
     whole = lost.join(limits, "raw").join(ref.select("address_id", "ref_ord"), F.lit(True), "cross").select("raw", "address_id", F.lit(0.0).alias("block_score"), "ref_ord", "k")

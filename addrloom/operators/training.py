@@ -13,10 +13,10 @@ from ..functions.vocab import FEATURES
 from . import evaluate, ranking
 
 
-def featured_candidates(queries: DataFrame, read: DataFrame, ref: DataFrame, base: int = 40) -> DataFrame:
+def featured_candidates(queries: DataFrame, read: DataFrame, ref: DataFrame, base: int = 40, keep=lambda df: df) -> DataFrame:
     """query_id, label, is_true, address_id and features of each query's candidates, the true row always among them."""
     q = queries.select("query_id", "label", "true_match_id", F.col("query_address").alias("raw"))
-    found = ranking.candidates(read, ref, base).select("raw", "address_id", "cand_ord")
+    found = keep(ranking.candidates(read, ref, base, keep).select("raw", "address_id", "cand_ord"))
     forced = q.where("label = 1").join(ref.select("address_id"), F.col("true_match_id") == F.col("address_id")).select("raw", "address_id").distinct()
     extra = forced.join(found, ["raw", "address_id"], "left_anti").withColumn("cand_ord", F.lit(1_000_000))
     pairs = ranking.features(found.unionByName(extra), read, ref)
@@ -127,7 +127,7 @@ def fit(queries: DataFrame, read: DataFrame, ref: DataFrame, keep, most_queries:
     """
     if queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} training queries")
-    featured = keep(featured_candidates(queries, read, ref))
+    featured = keep(featured_candidates(queries, read, ref, keep=keep))
     pairs, calibration = (f(x) for f, x in zip((_pairs, _calibration), base_rows(featured)))
     first = fit_weights(pairs, calibration)
     mined = [f(x) for f, x in zip((_pairs, _calibration), mined_rows(featured, first))]

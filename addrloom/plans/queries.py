@@ -692,11 +692,11 @@ def sequence_ratio(spark, d):
 @_query()
 def parse_freeform(spark, d):
     from ..operators import reading
-    from .resolve import kept
+    from ..storage import stored
 
     ref = _ref(spark, d)
     q = _qry(spark, d)
-    read = reading.read_all(q.select(F.col("query_address").alias("raw")), ref, refs.places(ref), kept)
+    read = reading.read_all(q.select(F.col("query_address").alias("raw")), ref, refs.places(ref), stored)
     return q.select("query_id", F.col("query_address").alias("raw")).join(read.select("raw", "parts.*"), "raw").drop("raw")
 
 
@@ -711,7 +711,7 @@ def resolve_end_to_end(spark, d):
     from .resolve import resolve
 
     q = _qry(spark, d).select("query_id", "true_match_id", "query_address")
-    return resolve(q, _ref(spark, d), model()).drop("top_candidates")
+    return resolve(q, _ref(spark, d), model(), both=False).drop("top_candidates")
 
 
 @_query()

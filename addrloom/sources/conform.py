@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as c
 from ..functions import vocab as v
 from ..functions.text import normalize_spaces
-from .formats import Row
+from .formats import Row, Steps
 
 FALLBACK_LINES = ("FULL_ADDR", "FullAddr", "FULL_ADDRESS", "ADDRESS", "ADDR", "SITEADD", "SITUS_ADDR")
 OUT = ("NUMBER", "STREET", "UNIT", "CITY", "REGION", "POSTCODE", "SOURCE", "SOURCE_ID", "COUNTY", "LOCALITY_STATUS")
@@ -67,25 +67,23 @@ def county_only(conform: dict, coverage: dict) -> bool:
 
 def normalize(rows: DataFrame, conform: dict, source: str, coverage: dict | None = None, allow_county_only: bool = False) -> DataFrame:
     """Rows of a layer in the shape OUT; rows without house, street or place, or with a zip of another state, go."""
-    r, coverage = Row(rows), coverage or {}
-    house, street = c.house_number(value(r, conform.get("number"))), value(r, conform.get("street"))
-    for name in FALLBACK_LINES:
-        line = _field(r, name)
-        found = c.split_house(line)
+    r, let, coverage = Row(rows), Steps(rows), coverage or {}
+    house, street = let(c.house_number(value(r, conform.get("number")))), let(value(r, conform.get("street")))
+    for name in dict.fromkeys(n.lower() for n in FALLBACK_LINES):
+        if r(name) is None:
+            continue
+        line = let(_field(r, name))
+        found = let(c.split_house(line))
         ask = (line != "") & ((house == "") | (street == ""))
-        house, street = F.when(ask & (house == ""), found.house).otherwise(house), F.when(ask & (street == ""), found.rest).otherwise(street)
-    city = value(r, conform.get("city"))
-    city, region = c.place(city), c.state(value(r, conform.get("region")))
+        house, street = let(F.when(ask & (house == ""), found.house).otherwise(house)), let(F.when(ask & (street == ""), found.rest).otherwise(street))
+    city, region, zip_code = let(c.place(let(value(r, conform.get("city"))))), let(c.state(let(value(r, conform.get("region"))))), let(c.zip_code(value(r, conform.get("postcode"))))
     if coverage.get("city"):
-        city = F.when(city == "", c.place(F.lit(str(coverage["city"])))).otherwise(city)
+        city = let(F.when(city == "", c.place(F.lit(str(coverage["city"])))).otherwise(city))
     region = F.when(region == "", F.lit(_state_code(coverage.get("state")) or "MS")).otherwise(region)
-    zip_code = c.zip_code(value(r, conform.get("postcode")))
     county = str(coverage.get("county") or "")
-    bare = (city == "") & (zip_code == "")
     may = bool(allow_county_only and county and _state_code(coverage.get("state")) == "MS")
-    out = rows.select(
-        house.alias("NUMBER"), c.street_name(street).alias("STREET"), F.substring(F.upper(value(r, conform.get("unit"))), 1, 24).alias("UNIT"), city.alias("CITY"), region.alias("REGION"), zip_code.alias("POSTCODE"),
-        F.lit(source).alias("SOURCE"), value(r, conform.get("id")).alias("SOURCE_ID"), F.lit(county).alias("COUNTY"), F.when(bare, v.COUNTY_ONLY_STATUS).otherwise("situs_locality").alias("LOCALITY_STATUS"),
-    )
+    status = F.when((city == "") & (zip_code == ""), v.COUNTY_ONLY_STATUS).otherwise("situs_locality")
+    columns = (house, c.street_name(street), F.substring(F.upper(value(r, conform.get("unit"))), 1, 24), city, region, zip_code, F.lit(source), value(r, conform.get("id")), F.lit(county), status)
+    out = let.df.select(*(x.alias(n) for n, x in zip(OUT, columns)))
     placed = (F.col("CITY") != "") | (F.col("POSTCODE") != "") | ((F.col("REGION") == "MS") & F.lit(may))
     return out.where((F.col("NUMBER") != "") & (F.col("STREET") != "") & placed & c.zip_fits_state(F.col("POSTCODE"), F.col("REGION")))

@@ -134,11 +134,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "d
 
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            blobs = []
-            for own in encoder(tokenizer).many(b.column(1)):
-                ids = np.concatenate([own, end])
-                blobs.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+            for at, some in encoder(tokenizer).many(b.column(1)):
+                blobs = []
+                for own in some:
+                    ids = np.concatenate([own, end])
+                    blobs.append(b"\x02" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\x04" + ids.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(blobs)], pa.array(blobs, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(encode, "doc_id long, ids binary")
 

@@ -214,15 +214,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            rows = []
-            for row, ids in enumerate(encoder(tokenizer).many(b.column(1))):
-                data = memoryview(np.concatenate([ids, end]).tobytes())
-                n = len(data) // 4
-                first = (n - 1) % capacity + 1
-                for piece, start in enumerate([0, *range(first, n, capacity)]):
-                    length = first if start == 0 else capacity
-                    rows.append((row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
-            if rows:
+            for at, some in encoder(tokenizer).many(b.column(1)):
+                rows = []
+                for row, ids in enumerate(some, at):
+                    data = memoryview(np.concatenate([ids, end]).tobytes())
+                    n = len(data) // 4
+                    first = (n - 1) % capacity + 1
+                    for piece, start in enumerate([0, *range(first, n, capacity)]):
+                        length = first if start == 0 else capacity
+                        rows.append((row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
                 row, piece, *rest = (np.array(c) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)], [id_col, "piece", "start", "length", "ids_crc32"])
 

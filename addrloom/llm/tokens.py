@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class _Chunks(dict):
 class Encoder:
     """ids of whole texts. special_as_text: strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, special_as_text: bool = True, bound: int = 300_000):
+    def __init__(self, path: str, special_as_text: bool = True, bound: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,15 +88,17 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids of one text as little-endian unsigned 32-bit bytes."""
-        return self.many(pa.array([text], pa.large_string()))[0].tobytes()
-
-    def many(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; null texts are empty."""
-        column = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends = pc.cumulative_sum(pc.binary_length(column)).to_numpy() if len(column) else np.zeros(0)
-        cuts = np.searchsorted(ends, np.arange(_MANY_BYTES, ends[-1] if len(ends) else 0, _MANY_BYTES)) + 1
-        bounds = sorted({0, len(column), *cuts.tolist()})
-        return [ids for a, b in zip(bounds, bounds[1:]) for ids in self._batch(column[a:b])]
+        return self._batch(pa.array([text or ""], pa.large_string()))[0].tobytes()
+
+    def many(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, ids of each text as little-endian unsigned 32-bit numbers), some megabytes of text at a time; null texts are empty."""
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+        start = 0
+        while start < len(texts):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + _MANY_BYTES, side="right")))
+            yield start, self._batch(pc.fill_null(texts[start:stop].cast(pa.large_string()), ""))
+            start = stop
 
     def _batch(self, column: pa.Array) -> list[np.ndarray]:
         out: list = [np.zeros(0, dtype="<u4")] * len(column)
@@ -124,7 +127,7 @@ class Encoder:
         return out
 
 
-def encoder(path: str, special_as_text: bool = True, bound: int = 300_000) -> Encoder:
+def encoder(path: str, special_as_text: bool = True, bound: int = 250_000) -> Encoder:
     """One per worker process, kept between tasks."""
     key = (path, special_as_text, bound)
     if key not in _WORKER:

@@ -32,7 +32,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 120_000:
             self.clear()
         self[word] = value
         return value

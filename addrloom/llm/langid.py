@@ -103,7 +103,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150, rate
     return Model(langs, code, w, b, (share / share.sum(axis=1, keepdims=True)).astype(np.float32), x.shape[1])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, buckets: int = 1 << 13) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, buckets: int = 1 << 13) -> Model | None:
     """Learn from about ``per_lang`` labelled rows of each language, whole texts.
 
     Rows with a null language, a null text or no letter don't take part. None if
@@ -129,8 +129,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     x = np.zeros((len(sample), buckets), dtype=np.float32)
     for row, (_, at, n) in zip(x, sample):
         row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    x = np.sqrt(x / x.sum(axis=1, keepdims=True))
-    return train(x, np.array([langs.index(r[0]) for r in sample]), langs)
+    x /= x.sum(axis=1, keepdims=True)
+    return train(np.sqrt(x, out=x), np.array([langs.index(r[0]) for r in sample]), langs)
 
 
 def predictor(model: Model | None, least_lead: float = 0.1, block: int = 256):

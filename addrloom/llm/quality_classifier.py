@@ -27,7 +27,7 @@ class _Hashes(dict):
 
     def __missing__(self, token: str) -> int:
         value = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-        if len(self) >= 400_000:
+        if len(self) >= 120_000:
             self.clear()
         self[token] = value
         return value
@@ -71,7 +71,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int,
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(passes):
         for at, counts, label, weight in rows:
-            at, x = np.append(at, size - 1), np.append(values(counts), 1.0)
+            at, x = np.append(at.astype(np.int64), size - 1), np.append(values(counts.astype(np.float64)), 1.0)
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -50, 50)))
@@ -82,7 +82,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int,
     return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500, bits: int = 18) -> Model | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1000, bits: int = 18) -> Model | None:
     """Learn from about ``per_label`` rows of either label, whole texts, in the order of a hash of the id.
 
     Rows with a null text count as empty; labels other than 0 and 1 don't take
@@ -106,7 +106,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     got.sort()
     ones = sum(r[1] for r in got)
     weight = {1: len(got) / 2 / max(1, ones), 0: len(got) / 2 / max(1, len(got) - ones)}
-    return train_ftrl([(np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float64), label, weight[label]) for _, label, at, n in got], bits)
+    return train_ftrl([(np.frombuffer(at, "<u4"), np.frombuffer(n, "<u4"), label, weight[label]) for _, label, at, n in got], bits)
 
 
 def scorer(model: Model | None):
@@ -132,7 +132,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(F.col(id_col), 3) == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model | None:
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> Model | None:
     """Sample the labels first, so that only chosen texts are joined to them."""
     own = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = stratified_sample(own.where(F.col("quality").isin(0, 1)), "quality", "doc_id", per_label)

@@ -397,7 +397,6 @@ def stage1_rule_cascade(spark, d):
 
 # ---- blocking and ranking ---------------------------------------------------
 
-#: One query in ten: each meets thousands of postings.
 _LIST = {"token": "len3(street_name)", "sound": "sounds", "city_token": "len3(city)"}
 
 
@@ -424,25 +423,49 @@ summed AS (SELECT query_id, address_id, round(sum(weight)::DOUBLE, 4) AS block_s
 """
 
 
+_BLOCKED_ALL = _BLOCKED.replace(" WHERE noise_kind = 3", "")
+_SUM_SQL = "SELECT query_id, count(*) AS candidates, round(sum(block_score), 2) AS total, max(block_score) AS best FROM summed GROUP BY query_id"
+_TOP_SQL = "SELECT query_id, address_id, n::INT AS pool FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY block_score DESC, ref_ord, s.address_id) AS n FROM summed s JOIN ref r ON s.address_id = r.address_id) WHERE n <= 10"
+
+
 def _asked(spark, d) -> DataFrame:
-    return _qry(spark, d).where("noise_kind = 3").withColumn("variant", F.lit(0)).withColumnRenamed("query_id", "raw")
+    return _qry(spark, d).withColumn("variant", F.lit(0)).withColumnRenamed("query_id", "raw")
 
 
-@_query(_BLOCKED + "SELECT query_id, count(*) AS candidates, round(sum(block_score), 2) AS total, max(block_score) AS best FROM summed GROUP BY query_id")
-def blocking_weighted_sum(spark, d):
-    keys = refs.block_keys(_asked(spark, d).withColumn("signature", text.street_signature()), "raw")
+def _weighted_sum(spark, d, asked: DataFrame) -> DataFrame:
+    keys = refs.block_keys(asked.withColumn("signature", text.street_signature()), "raw")
     weights = F.create_map(*(x for n, (_, w, _) in refs.BLOCKS.items() for x in (F.lit(n), F.lit(w))))
     hits = keys.distinct().join(refs.postings(_ref(spark, d)).drop("block"), "key")
     summed = hits.groupBy("raw", "address_id").agg(F.round(F.sum(weights[F.col("block")]), 4).alias("s"))
     return summed.groupBy(F.col("raw").alias("query_id")).agg(F.count(F.lit(1)).alias("candidates"), F.round(F.sum("s"), 2).alias("total"), F.max("s").alias("best"))
 
 
-@_query(_BLOCKED + "SELECT query_id, address_id, n::INT AS pool FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY block_score DESC, ref_ord, s.address_id) AS n FROM summed s JOIN ref r ON s.address_id = r.address_id) WHERE n <= 10")
-def blocking_topk(spark, d):
-    pool = ranking.blocked(_asked(spark, d), _ref(spark, d)).where("pool <= 10")
+def _topk(spark, d, asked: DataFrame) -> DataFrame:
+    pool = ranking.blocked(asked, _ref(spark, d)).where("pool <= 10")
     return pool.select(F.col("raw").alias("query_id"), "address_id", "pool")
 
 
+#: The SQL of these two asks for the texts of one kind of noise; the two after them block every text.
+@_query(_BLOCKED + _SUM_SQL)
+def blocking_weighted_sum(spark, d):
+    return _weighted_sum(spark, d, _asked(spark, d).where("noise_kind = 3"))
+
+
+@_query(_BLOCKED + _TOP_SQL)
+def blocking_topk(spark, d):
+    return _topk(spark, d, _asked(spark, d).where("noise_kind = 3"))
+
+
+@_query(_BLOCKED_ALL + _SUM_SQL)
+def blocking_weighted_sum_all(spark, d):
+    return _weighted_sum(spark, d, _asked(spark, d))
+
+
+@_query(_BLOCKED_ALL + _TOP_SQL)
+def blocking_topk_all(spark, d):
+    return _topk(spark, d, _asked(spark, d))
+
+
 _TRUE = "qparts q JOIN ref r ON q.true_match_id = r.address_id"
 
 

@@ -263,3 +263,18 @@ def test_queries_agree_with_their_sql(spark):
                 assert (abs(own[c] - other[c].astype(float)) < 1e-9).all(), (name, c)
             else:
                 assert own[c].astype(str).tolist() == other[c].astype(own[c].dtype).astype(str).tolist(), (name, c)
+
+
+def test_all_texts_are_blocked(spark):
+    """Clean texts and every kind of noise get candidates, those without a zip, type or city too."""
+    from addrloom.plans import fixtures, queries as q
+
+    d = "/root/testdata/sf0.001"
+    kinds = fixtures.queries(spark, d).where("street_name <> ''").select("query_id", "noise_kind")
+    every = {(r.query_id, r.noise_kind) for r in kinds.collect()}
+    assert {k for _, k in every} >= {0, 1, 2, 3, 4, 5, 6, 7}
+    for name in ("blocking_weighted_sum", "blocking_topk"):
+        found = {r.query_id for r in q.Q[f"{name}_all"](spark, d).select("query_id").distinct().collect()}
+        assert found == {i for i, _ in every}, name
+        own = q.Q[f"{name}_all"](spark, d).join(kinds.where("noise_kind = 3"), "query_id").drop("noise_kind")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, q.Q[name](spark, d).collect())), name

@@ -278,3 +278,22 @@ def test_all_texts_are_blocked(spark):
         assert found == {i for i, _ in every}, name
         own = q.Q[f"{name}_all"](spark, d).join(kinds.where("noise_kind = 3"), "query_id").drop("noise_kind")
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, q.Q[name](spark, d).collect())), name
+
+
+def test_every_row_is_looked_up_for_neighbours(spark):
+    """Brute force over all pairs; a fifth of the rows is part of it."""
+    from addrloom.plans import fixtures, queries as q
+
+    d = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in fixtures.reference(spark, d).collect()]
+    keys = {"same_house_city": ("house_number", "city", "state"), "same_street_city": ("predir", "street_name", "street_type", "suffixdir", "city", "state"), "same_house_zip": ("house_number", "zip_code"), "same_street_zip": ("predir", "street_name", "street_type", "suffixdir", "zip_code")}
+    expected = set()
+    for r in rows:
+        p = r | {"house_number": str(int(r["house_number"]) + 4) if r["ref_ord"] % 2 == 0 else r["house_number"]}
+        for n in rows:
+            reason = next((k for k, cs in keys.items() if all(p[c] == n[c] and (p[c] or c in ("predir", "street_type", "suffixdir")) for c in cs)), None)
+            if reason:
+                expected.add((r["address_id"], n["address_id"], reason))
+    found = {(x.candidate, x.neighbour, x.reason) for x in q.Q["adversarial_neighbors_all"](spark, d).collect()}
+    assert found == expected and {a for a, *_ in found} == {r["address_id"] for r in rows}
+    assert {tuple(x) for x in q.Q["adversarial_neighbors"](spark, d).select("candidate", "neighbour", "reason").collect()} < found

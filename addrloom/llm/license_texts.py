@@ -1,5 +1,8 @@
 """Licence texts and notices whose canonical digests are known."""
 
+from functools import lru_cache
+from pathlib import Path
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
 _MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _MIT = f"{_MIT_BODY}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_END}"
@@ -57,3 +60,27 @@ LICENSES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 )
+
+#: Titles under which these texts are given, besides those above.
+_TITLES = {
+    "MIT": ("MIT License (MIT)", "The MIT License"), "MIT-0": ("MIT-0", "MIT No Attribution License"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"), "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "The BSD 2-Clause License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "BSD License"), "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"), "Unlicense": ("The Unlicense", "Unlicense"),
+}
+_TITLED = {"MIT": _MIT, "MIT-0": LICENSES[3][1].split("\n\n", 1)[1], **{name: text for name, text in LICENSES[4:10]}}
+
+
+@lru_cache(1)
+def all_texts() -> tuple[tuple[str, str], ...]:
+    """LICENSES, the same texts under other titles, and entire licences, with and without what follows their terms.
+
+    For the driver alone: the files aren't sent to workers.
+    """
+    out = [*LICENSES, *((name, title + "\n\n" + _TITLED[name]) for name, titles in _TITLES.items() for title in titles), ("MIT-0", _TITLED["MIT-0"])]
+    for path in sorted((Path(__file__).parent / "license_files").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        terms, end, after = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(path.stem, terms), (path.stem, terms + end)]
+    return tuple(out)

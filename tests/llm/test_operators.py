@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -104,6 +105,21 @@ def test_license_scan(spark, none):
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts=(("X", "no such text"),)).where("license_id is not null").count() == 0
 
 
+def test_license_scan_of_entire_licences(spark):
+    """Whole licences wrapped anew, titles, reserved rights, and texts on the line of their copyright statement."""
+    texts = dict(reversed(licenses.LICENSES))
+    mit, isc, bsd = next(t for n, t in licenses.LICENSES if n == "MIT"), texts["ISC"], texts["BSD-3-Clause"]
+    whole = dict(reversed(licenses.all_texts()))
+    flat = lambda t: " ".join(t.split())
+    rows = [
+        ("MIT", "Copyright (c) 2020 Jane Doe " + flat(mit)), ("MIT", "MIT License Copyright (c) 2020 Jane Doe " + flat(mit)), ("ISC", "ISC License\n\nCopyright 2020 A B\n\n" + isc), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A B\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", "Copyright (c) 2020, A B. All rights reserved.\n\n" + bsd.replace("above copyright", "above\ncopyright")), ("Apache-2.0", whole["Apache-2.0"]), ("MPL-2.0", "\n".join(textwrap.wrap(whole["MPL-2.0"], 60))),
+        *((n, whole[n]) for n in ("GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "CC0-1.0")), (None, "All rights reserved."), (None, "Copyright (c) 2020 Jane Doe"), (None, bsd + " Except on Sundays."), (None, whole["GPL-2.0-only"][:9000]),
+    ]
+    out = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert {r.doc_id: r.license_id for r in out.collect()} == {i: n for i, (n, _) in enumerate(rows)}
+
+
 def test_language_edge_cases(spark, edge, none, docs):
     out = langid.identify(edge).collect()
     assert len(out) == len(EDGE) and all(0 <= r.score <= 1 for r in out)

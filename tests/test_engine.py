@@ -297,3 +297,19 @@ def test_every_row_is_looked_up_for_neighbours(spark):
     found = {(x.candidate, x.neighbour, x.reason) for x in q.Q["adversarial_neighbors_all"](spark, d).collect()}
     assert found == expected and {a for a, *_ in found} == {r["address_id"] for r in rows}
     assert {tuple(x) for x in q.Q["adversarial_neighbors"](spark, d).select("candidate", "neighbour", "reason").collect()} < found
+
+
+def test_both_stages_get_every_text(spark, monkeypatch):
+    from addrloom.plans import fixtures, queries as q, resolve as plan
+
+    class Asked(Exception):
+        pass
+
+    def second(read, *_):
+        raise Asked(read.select("raw").distinct().count())
+
+    monkeypatch.setattr(plan, "second_stage", second)
+    d = "/root/testdata/sf0.001"
+    with pytest.raises(Asked) as asked:
+        q.Q["resolve_end_to_end"](spark, d)
+    assert asked.value.args[0] == fixtures.queries(spark, d).select("query_address").distinct().count()

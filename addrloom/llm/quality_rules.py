@@ -135,14 +135,14 @@ def weak_labels(x: np.ndarray, quality: int) -> np.ndarray:
     return np.where(x[:, FEATURES.index("equals an earlier line")] > 0, 0, quality).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400, most_lines: int = 60) -> Crf | None:
-    """Train on about ``per_label`` labelled documents of either quality and, of each, the first ``most_lines`` lines (both bound the training sample alone)."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400) -> Crf | None:
+    """Train on all lines of about ``per_label`` labelled documents of either quality (a bound of the training sample alone)."""
     own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = stratified_sample(own.where(F.col("quality").isin(0, 1)), "quality", "doc_id", per_label)
 
     def sparse(batches):
         for pdf in batches:
-            found = [(key, q, line_features(text or "")[0][:most_lines].astype("<f4").tobytes()) for key, q, text in zip(pdf["_order"], pdf["quality"], pdf["text"])]
+            found = [(key, q, line_features(text or "")[0].astype("<f4").tobytes()) for key, q, text in zip(pdf["_order"], pdf["quality"], pdf["text"])]
             yield pd.DataFrame(found, columns=["o", "q", "x"])
 
     got = sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 4 * per_label).select(F.xxhash64(F.lit(6), "doc_id").alias("_order"), "quality", "text").mapInPandas(sparse, "o long, q int, x binary").collect()

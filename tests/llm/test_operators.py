@@ -202,6 +202,14 @@ def test_quality_rules_edge_cases(edge, none, docs, labels):
     assert good.where("kept").count() >= 0.97 * good.count() and bad.where("NOT kept").count() >= 0.6 * bad.count()
 
 
+def test_quality_rules_train_on_all_lines(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(quality_rules, "train", lambda found: rows.extend(found))
+    docs = spark.createDataFrame([(1, "\n".join(f"line {i} of a long document" for i in range(150))), (2, "buy now\nbuy now")], "doc_id long, text string")
+    quality_rules.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert sorted(len(x) for x, _ in rows) == [2, 150] and all(len(x) == len(y) for x, y in rows)
+
+
 def test_embedding_edge_cases(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((30, 8))

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and its master is local (tests) a temporary
+    folder is set; on a cluster a missing name is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="addrloom-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -41,11 +47,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts have this many rows, which bounds what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,27 +68,44 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` has it (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ...: names of an operator's own can't clash with them."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def share_limit(n: int, bound: int) -> int:
+    """Hashes below this long number are about ``bound`` of ``n`` evenly spread 64-bit hashes, however large n is."""
+    return (1 << 63) - 1 if n <= bound else -(1 << 63) + (1 << 64) * bound // n
+
+
 def stratified_sample(df: DataFrame, key: str, order: str, bound: int) -> DataFrame:
-    """About ``bound`` rows of each ``key``, chosen by a hash of ``order``; all of a smaller one.
+    """``bound`` rows of each ``key``, those with the smallest hashes of ``order``; all of a smaller one.
 
-    The counts cover all rows; the chosen share of a key is bound / its rows, so
-    the sample has at most bound rows a key in expectation. The number of keys
+    The counts cover all rows. A limit on the hash leaves slightly more rows than
+    the bound (by six standard errors), whatever their number; of these the first
+    are taken, so that a key has its bound in full and no more. The number of keys
     must be small (languages, labels): their counts pass through the driver.
     Rows with a null key are left out.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count().collect()
     if not counts:
         return df.limit(0)
-    unit = 1 << 20
-    share = F.lit(0)
+    limit = F.lit(None).cast("long")
     for value, n in counts:
-        share = F.when(F.col(key) == F.lit(value), F.lit(unit if n <= bound else int(unit * bound / n))).otherwise(share)
-    return df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(7), F.col(order)), F.lit(unit)) < share))
+        limit = F.when(F.col(key) == F.lit(value), F.lit(share_limit(n, bound + math.ceil(6 * bound**0.5)))).otherwise(limit)
+    own, place = free_name(df, "_hash"), free_name(df, "_place")
+    drawn = df.withColumn(own, F.xxhash64(F.lit(7), F.col(order))).where(F.col(key).isNotNull() & (F.col(own) <= limit))
+    return drawn.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(own, order))).where(F.col(place) <= bound).drop(own, place)
 
 
 def sampled_rows(rows: DataFrame, sample: DataFrame, key: str, bound: int) -> DataFrame:
-    """Rows whose key is in a sample of at most ``bound`` rows, which is small enough to be sent to every task.
-
-    A sample drawn beyond the bound is cut to it: it only chooses what a model learns from.
-    """
+    """Rows whose key is in a sample of at most ``bound`` rows, which is small enough to be sent to every task."""
     return rows.join(F.broadcast(sample.limit(bound)), key)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import numbered
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 
@@ -42,9 +44,9 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
 
 
 def _class(size: Column) -> Column:
-    """Order of sizes by their binary length and four leading digits."""
+    """Order of sizes by their binary length and six leading digits."""
     digits = F.bin(size)
-    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 4))
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(digits, 1, 6))
 
 
 def _offset(source: Column, seed: int) -> Column:
@@ -53,41 +55,44 @@ def _offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds _size, _source_size, _target and _copies (0 to 3) to every row of ``docs``.
+def mix(docs: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out: str = "_mix") -> DataFrame:
+    """Adds struct column ``out`` to every row of ``docs``: size, source_size, target and copies (0 to 3).
 
     Null text counts as empty; empty documents have size 0 and take part. Null
     sources form a source of their own. Ties and repeated rows are rows of their
-    own: equal rows may get different copies. An empty table stays empty. Other
-    columns are kept; the names with an underscore are replaced.
+    own: equal rows may get different copies. An empty table stays empty. All
+    other columns are kept, whatever their names; only one named ``out`` is replaced.
     """
-    named = docs.withColumn("_source", F.col(source_col).cast("string")).withColumn("_size", size_of(F.col(text_col).cast("string")))
-    targets = source_targets(named.select(F.col("_source").alias("source"), F.col("_size").alias("size")))
-    salted = named.withColumn("_class", _class(F.col("_size"))).withColumn("_salt", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2))
+    docs = docs.drop(out)
+    names = docs.columns
+    column = {name: F.col(f"c{i}") for i, name in enumerate(names)}
+    doc_id, source = column[id_col], column[source_col].cast("string")
+    named = numbered(docs).withColumn("size", size_of(column[text_col].cast("string")))
+    targets = source_targets(named.select(source.alias("source"), "size"))
     # a key that is never null, so that windows and joins share one partitioning
-    salted = salted.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")))
-    keys = ["_key", "_class", "_salt"]
-    order = Window.partitionBy("_key").orderBy("_class", "_salt")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    salt = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 2)
+    salted = named.select("*", key(source).alias("key"), _class(F.col("size")).alias("class"), salt.alias("salt"))
+    keys = ["key", "class", "salt"]
+    order = Window.partitionBy("key").orderBy("class", "salt")
     before = (
-        salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-        .join(targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), "_key")
-        .select(*keys, "_before", "_source_size", "_target")
+        salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(order) - F.col("n"))
+        .join(targets.select(key(F.col("source")).alias("key"), "source_size", "target"), "key").select(*keys, "before", "source_size", "target")
     )
-    local = salted.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("_size", id_col)))
-    joined = local.join(before, keys)
-    rank = F.col("_before") + F.col("_row")
-    share = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    u = _offset(F.col("_source"), seed)
+    local = salted.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("size", doc_id)))
+    rank = F.col("before") + F.col("row")
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    u = _offset(source, seed)
     copies = F.floor(rank * share + u) - F.floor((rank - 1) * share + u)
-    kept = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies")]
-    return joined.withColumn("_copies", copies).select(*kept, "_size", "_source_size", "_target", "_copies")
+    mixed = F.struct("size", "source_size", "target", copies.alias("copies"))
+    return local.join(before, keys).select(*(column[c].alias(c) for c in names), mixed.alias(out))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    once = mixed.where(F.col("_copies") > 0)
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies", "_size", "_source_size", "_target")
+def emit(mixed: DataFrame, out: str = "_mix") -> DataFrame:
+    """The mix itself: each row as often as it is taken, without ``out``."""
+    once = mixed.where(F.col(out).copies > 0)
+    times = F.sequence(F.lit(1), F.col(out).copies.cast("int"))
+    return once.withColumn(out, F.explode(times)).drop(out)
 
 
 #: DuckDB SQL for the same steps over a view ``documents``.
@@ -106,7 +111,7 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, CASE WHEN best IS NULL OR cap <= best * weight THEN cap::DOUBLE ELSE best * weight END AS target FROM opened
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 4),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 6),
     substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2), size, doc_id) AS k FROM sized
 ), shared AS (
   SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column_type, materialize, shuffle_width
+from .common import column_type, free_name, materialize, shuffle_width
 
 #: ((length, times), ...), sequences of that kind
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -159,15 +159,14 @@ def _places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {size: np.array(x, dtype=np.int64) for size, x in rows.items()}
 
 
-def ranked(df: DataFrame, key: str, ties: list[str], out: str) -> DataFrame:
-    """Adds a gapless rank from 0 within ``key``; a hot key is dealt out by a hash of ``ties``."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(shuffle_width(df.sparkSession))).cast("int"))
-    before = (
-        salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_salt")) - F.col("_n")).drop("_n")
-    )
-    local = salted.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*ties)))
-    return local.join(before, [key, "_salt"]).withColumn(out, F.col("_before") + F.col("_row") - 1).drop("_salt", "_row", "_before")
+def ranked(df: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, str]:
+    """Adds a gapless rank from 0 within ``key``, and says its column's name; a hot key is dealt out by a hash of ``ties``."""
+    salt, row, before, n = (free_name(df, c) for c in ("_salt", "_row", "_before", "_n"))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*ties), F.lit(shuffle_width(df.sparkSession))).cast("int"))
+    counts = salted.groupBy(key, salt).agg(F.count(F.lit(1)).alias(n))
+    first = counts.select(key, salt, (F.sum(n).over(Window.partitionBy(key).orderBy(salt)) - F.col(n)).alias(before))
+    local = salted.withColumn(row, F.row_number().over(Window.partitionBy(key, salt).orderBy(*ties)))
+    return local.join(first, [key, salt]).withColumn(row, F.col(before) + F.col(row) - 1).drop(salt, before), row
 
 
 def pack(pieces: DataFrame, capacity: int, ties: list[str], length: str = "length") -> DataFrame:
@@ -181,12 +180,12 @@ def pack(pieces: DataFrame, capacity: int, ties: list[str], length: str = "lengt
     if any(s is None or not 0 < s <= capacity for s in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     places = _places(pack_counts(counts, capacity))
-    rows = ranked(pieces.drop("sequence_id", "offset"), length, ties, "_rank")
-    names = [c for c in rows.columns if c != "_rank"]
+    rows, own = ranked(pieces.drop("sequence_id", "offset"), length, ties)
+    names = [c for c in rows.columns if c != own]
 
     def place(batches):
         for pdf in batches:
-            size, rank = pdf[length].to_numpy(), pdf["_rank"].to_numpy()
+            size, rank = pdf[length].to_numpy(), pdf[own].to_numpy()
             sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
             order = np.argsort(size, kind="stable")
             cuts = np.flatnonzero(np.diff(size[order])) + 1

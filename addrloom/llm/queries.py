@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, huffman, jaccard_join, langid, licenses, mixing, packing, quality_classifier, quality_rules, warc
-from .common import dataset, text_batches
+from .common import dataset
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,7 +18,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark, 4000)  # more text a batch, fewer chunks to look up again
     return packing.pack_documents(dataset(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
@@ -38,8 +35,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(dataset(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = (F.col("_copies") * F.col("_size")).cast("long")
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    own = F.col("_mix")
+    return mixed.select("doc_id", own["size"].alias("size"), own.source_size.alias("source_size"), own.target.alias("target"), (own.copies * own["size"]).cast("long").alias("taken"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +49,6 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark, 4000)
     return huffman.round_trip(dataset(spark, sf_dir, "documents"), tokenizer_path())
 
 
@@ -64,16 +60,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(dataset(spark, sf_dir, "documents"))
 
 
-def _batched(query):
-    @wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text_batches(spark)
-        return query(spark, sf_dir)
-
-    return run
-
-
-QUERIES = {f.__name__: _batched(f) for f in (
+QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_license_scan, op3_language_id, op4_warc, op5_source_mixing, op6_quality_rules,
     op7_embedding_dedup, op8_token_output, op9_quality_classifier, op10_ngram_jaccard_join,
 )}

@@ -58,9 +58,12 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """ids of whole texts. special_as_text: strings of special tokens in a text are ordinary text."""
+    """ids of whole texts, as the library gives them with add_special_tokens=False.
 
-    def __init__(self, path: str, special_as_text: bool = True, bound: int = 250_000):
+    special_as_text: strings of special tokens in a text are ordinary text; else they are the special tokens.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False, bound: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -127,7 +130,7 @@ class Encoder:
         return out
 
 
-def encoder(path: str, special_as_text: bool = True, bound: int = 250_000) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, bound: int = 250_000) -> Encoder:
     """One per worker process, kept between tasks."""
     key = (path, special_as_text, bound)
     if key not in _WORKER:

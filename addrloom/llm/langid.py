@@ -103,8 +103,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150, rate
     return Model(langs, code, w, b, (share / share.sum(axis=1, keepdims=True)).astype(np.float32), x.shape[1])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, buckets: int = 1 << 13) -> Model | None:
-    """Learn from about ``per_lang`` labelled rows of each language, whole texts.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, buckets: int = 1 << 13) -> Model | None:
+    """Learn from at most ``per_lang`` labelled rows of each language, whole texts.
 
     Rows with a null language, a null text or no letter don't take part. None if
     no row is left.

@@ -82,8 +82,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], bits: int,
     return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1000, bits: int = 18) -> Model | None:
-    """Learn from about ``per_label`` rows of either label, whole texts, in the order of a hash of the id.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 1500, bits: int = 18) -> Model | None:
+    """Learn from at most ``per_label`` rows of either label, whole texts, in the order of a hash of the id.
 
     Rows with a null text count as empty; labels other than 0 and 1 don't take
     part. None if no row is left.
@@ -132,11 +132,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(F.col(id_col), 3) == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> Model | None:
+def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model | None:
     """Sample the labels first, so that only chosen texts are joined to them."""
     own = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = stratified_sample(own.where(F.col("quality").isin(0, 1)), "quality", "doc_id", per_label)
-    return fit(sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 4 * per_label), per_label=4 * per_label)
+    return fit(sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 2 * per_label), per_label=per_label)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -136,7 +136,10 @@ def weak_labels(x: np.ndarray, quality: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400) -> Crf | None:
-    """Train on all lines of about ``per_label`` labelled documents of either quality (a bound of the training sample alone)."""
+    """Train on all lines of at most ``per_label`` labelled documents of either quality (a bound of the training sample alone).
+
+    Rows of ``docs`` that repeat an id count as documents of their own, within the bound.
+    """
     own = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = stratified_sample(own.where(F.col("quality").isin(0, 1)), "quality", "doc_id", per_label)
 
@@ -145,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 400) -> Crf | None:
             found = [(key, q, line_features(text or "")[0].astype("<f4").tobytes()) for key, q, text in zip(pdf["_order"], pdf["quality"], pdf["text"])]
             yield pd.DataFrame(found, columns=["o", "q", "x"])
 
-    got = sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 4 * per_label).select(F.xxhash64(F.lit(6), "doc_id").alias("_order"), "quality", "text").mapInPandas(sparse, "o long, q int, x binary").collect()
+    sample = stratified_sample(sampled_rows(docs.select("doc_id", "text"), own, "doc_id", 2 * per_label), "quality", "doc_id", per_label)
+    got = sample.select(F.xxhash64(F.lit(6), "doc_id").alias("_order"), "quality", "text").mapInPandas(sparse, "o long, q int, x binary").collect()
     rows = [(np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(np.float64), q) for _, q, x in sorted(got) if x]
     return train([(x, weak_labels(x, q)) for x, q in rows]) if rows else None
 

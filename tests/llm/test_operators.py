@@ -159,37 +159,91 @@ def test_warc_edge_cases(spark, tmp_path):
 
 
 def test_warc_files_are_warc(spark, tmp_path):
-    import gzip
+    """A warcinfo record a file, records framed by their length, a gzip member a record."""
+    import zlib
 
     pages = spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>one</p>")], "page_id long, url string, html string")
     warc.write(pages.coalesce(1), str(tmp_path / "w"))
-    raw = b"".join(gzip.open(f).read() for f in sorted((tmp_path / "w").glob("*.gz")))
-    n = 0
-    while raw:
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
-        size = int(fields["Content-Length"])
-        assert rest[size : size + 4] == b"\r\n\r\n"
-        raw, n = rest[size + 4 :], n + 1
-    assert n == 2
+    kinds = []
+    for f in sorted((tmp_path / "w").glob("*.warc.gz")):
+        rest = f.read_bytes()
+        while rest:
+            member = zlib.decompressobj(31)
+            raw = member.decompress(rest)
+            assert member.eof
+            rest = member.unused_data
+            head, _, block = raw.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+            assert len(block) == int(fields["Content-Length"]) + 4 and block.endswith(b"\r\n\r\n")
+            kinds.append(fields["WARC-Type"])
+    assert sorted(k for k in kinds if k != "warcinfo") == ["response", "revisit"] and kinds[0] == "warcinfo"
+
+
+def test_warc_payloads_end_in_any_line_breaks(spark, tmp_path):
+    """Every payload of up to six CR and LF, alone in a file, last in one, and repeated."""
+    from itertools import product
+
+    ends = ["".join(x) for n in range(7) for x in product("\r\n", repeat=n)]
+    pages = spark.createDataFrame([(i, "u", "<p>a" * (i % 2) + e) for i, e in enumerate(ends)] + [(1000 + i, "u", ends[9]) for i in range(20)], "page_id long, url string, html string")
+    expected = {r.page_id: r.html.encode() for r in pages.collect()}
+    for k, parts in enumerate((1, 40)):
+        path = str(tmp_path / f"w{k}")
+        with_roles = pages.repartition(parts)
+        warc.write(with_roles, path, chunk_bytes=4)
+        got, kind = collections.defaultdict(bytes), {}
+        for r in sorted(warc.read(spark, path, with_data=True).collect(), key=lambda r: (r.page_id, r.chunk)):
+            got[r.page_id] += r.data
+            kind[r.page_id] = r.record_type
+        assert {i: x for i, x in got.items() if kind[i] == "response"} == {i: expected[i] for i in kind if kind[i] == "response"} and got.keys() == expected.keys()
+    for e in ("<p>a\r\n", "\r\n", "\r\n\r\n\r\n"):
+        one = warc.round_trip(pages.where("page_id = 0").withColumn("html", F.lit(e))).collect()
+        assert [(r.payload_bytes, r.record_type) for r in one] == [(len(e), "response")]
 
 
 def test_mixing(spark, edge, none, docs):
-    mixed = mixing.mix(edge.drop("_size", "_copies"))
+    mixed = mixing.mix(edge.withColumns({c: F.lit("clash") for c in ("_before", "_source", "_class", "_key", "_salt", "_row", "key", "before", "c0", "copies")}))
     out = mixed.collect()
-    assert len(out) == len(EDGE) and all(0 <= r._copies <= 3 for r in out)
-    targets = {r.source: (r._source_size, r._target) for r in out}
+    assert len(out) == len(EDGE) and all(0 <= r._mix.copies <= 3 for r in out)
+    assert set(mixed.columns) == {*edge.columns, "_before", "_source", "_class", "_key", "_salt", "_row", "key", "before", "c0", "copies", "_mix"} and all(r._size == r._before == r.c0 == "clash" for r in out)
+    targets = {r.source: (r._mix.source_size, r._mix.target) for r in out}
     assert all(t <= 3 * s + 1e-9 for s, t in targets.values())
     assert sum(t for _, t in targets.values()) == pytest.approx(sum(s for s, _ in targets.values()))
-    assert mixing.emit(mixed).count() == sum(r._copies for r in out)
+    emitted = mixing.emit(mixed)
+    assert emitted.count() == sum(r._mix.copies for r in out) and emitted.columns == mixed.columns[:-1]
     assert mixing.mix(none).count() == 0
-    a, b = (sorted((r.doc_id, r._copies) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 7))
+    a, b = (sorted((r.doc_id, r._mix.copies) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 7))
     assert a == b
-    taken = mixing.mix(docs).groupBy("source").agg((F.sum(F.col("_copies") * F.col("_size")) / F.first("_target")).alias("r"), F.max("_size").alias("m"), F.first("_target").alias("t")).collect()
+    own = F.col("_mix")
+    taken = mixing.mix(docs).groupBy("source").agg((F.sum(own.copies * own["size"]) / F.first(own.target)).alias("r"), F.max(own["size"]).alias("m"), F.first(own.target).alias("t")).collect()
     assert all(abs(r.r - 1) * r.t <= 2 * r.m for r in taken)
 
 
+def test_ranks_with_clashing_names(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(20)], "length long, doc_id long").withColumns({c: F.lit("clash") for c in ("_salt", "_row", "_before", "_n")})
+    ranked, own = packing.ranked(rows, "length", ["doc_id"])
+    got = collections.defaultdict(list)
+    for r in ranked.collect():
+        got[r.length].append(r[own])
+        assert r._salt == r._row == r._before == r._n == "clash"
+    assert all(sorted(x) == list(range(len(x))) for x in got.values())
+
+
+def test_stratified_samples_are_whole(spark):
+    from addrloom.llm import common
+
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, "few").when(F.col("id") % 7 != 0, "many").alias("key"))
+    got = collections.Counter(r.key for r in common.stratified_sample(rows, "key", "id", 500).collect())
+    assert got == {"few": 500, "many": 500}
+    assert common.stratified_sample(rows.limit(20), "key", "id", 500).count() == rows.limit(20).where("key is not null").count()
+    again = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")], "id long, key string")
+    assert common.stratified_sample(again, "key", "id", 10).count() == 11
+    for n in (10**4, 10**10, 10**15):  # shares of any number of rows
+        share = (common.share_limit(n, 300) + 2**63) / 2**64
+        assert share * n == pytest.approx(300, rel=0.01)
+    assert common.share_limit(300, 300) == 2**63 - 1
+
+
 def test_quality_rules_edge_cases(edge, none, docs, labels):
     crf = quality_rules.fit(docs, labels)
     out = {r.doc_id: r for r in quality_rules.judge(edge, crf).collect()}

@@ -10,45 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrloom.llm import jaccard_join, langid, mixing, packing, quality_classifier
-from addrloom.llm.common import dataset, materialize, text_batches
+from addrloom.llm.common import dataset, free_name, materialize
 from addrloom.llm.queries import tokenizer_path
 
 #: A text goes only where the classifier is this sure of low quality.
 LEAST_QUALITY = 0.5
-#: Rows of an Arrow batch: workers live through all stages, so each holds little.
-BATCH_ROWS = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those between two languages, go."""
-    text_batches(spark, BATCH_ROWS)
     model = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
-    own = F.col("_language")
-    return langid.with_language(docs, model).where((own.lang_pred != langid.UNKNOWN) & ~own.ambiguous).drop("_language")
+    name = free_name(docs, "_language")
+    own = F.col(name)
+    return langid.with_language(docs, model, out=name).where((own.lang_pred != langid.UNKNOWN) & ~own.ambiguous).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half go."""
-    text_batches(spark, BATCH_ROWS)
     model = quality_classifier.fit_on(docs, dataset(spark, sf_dir, "labels"))
-    return quality_classifier.with_score(docs, model).where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    name = free_name(docs, "_quality")
+    return quality_classifier.with_score(docs, model, out=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest id stays; rows without an id stay."""
-    text_batches(spark, BATCH_ROWS)
     gone = jaccard_join.join(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights take it."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    name = free_name(docs, "_mix")
+    return mixing.emit(mixing.mix(docs, out=name), name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix in sequences of 2048 tokens."""
-    text_batches(spark, BATCH_ROWS)
     return packing.pack_documents(docs, tokenizer_path(), 2048)
 
 

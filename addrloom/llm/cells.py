@@ -17,9 +17,16 @@ from pyspark.sql import functions as F
 CELL = ["_cell_i", "_cell_j"]
 
 
-def in_cells(rows: DataFrame, key: list[str], id_col: str, block: int) -> DataFrame:
-    """Rows of buckets with two rows or more, once per cell, with _block, _cell_i, _cell_j."""
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
+def in_cells(rows: DataFrame, key: list[str], id_col: str, block: int, weight: str | None = None, block_weight: int = 1) -> DataFrame:
+    """Rows of buckets with two rows or more, once per cell, with _block, _cell_i, _cell_j.
+
+    A block has about ``block`` rows at most and, where a column ``weight`` is given,
+    rows of about ``block_weight`` in all, so that cells are bounded in bytes too.
+    """
+    blocks = F.ceil(F.count(F.lit(1)) / block)
+    if weight:
+        blocks = F.least(F.count(F.lit(1)), F.greatest(blocks, F.ceil(F.sum(weight) / block_weight)))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), blocks.cast("int").alias("_blocks")).where("_n > 1").drop("_n")
     blocked = rows.join(counts, key).withColumn("_block", F.pmod(F.xxhash64(F.lit(11), id_col), F.col("_blocks")).cast("int"))
     other = blocked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return other.withColumn("_cell_i", F.least("_block", "_other")).withColumn("_cell_j", F.greatest("_block", "_other")).drop("_other", "_blocks")
@@ -77,6 +84,17 @@ def pairs(pdf: pd.DataFrame, number: np.ndarray, most: int = 1 << 16) -> Iterato
         yield np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
 
 
+def sides(pdf: pd.DataFrame, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each cell the indices of its two sides; a cell of one block has that block on both."""
+    block, i, j = (pdf[c].to_numpy() for c in ("_block", *CELL))
+    for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(number)) + 1):
+        if i[at[0]] == j[at[0]]:
+            yield at, at
+        else:
+            left = block[at] == i[at[0]]
+            yield at[left], at[~left]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links of a spanning forest of the given ones."""
     root: dict[int, int] = {}

@@ -288,6 +288,29 @@ def test_embedding_edge_cases(spark):
     assert embed_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_query_by_brute_force(spark):
+    """The registered query on its own table, and planted pairs just above the threshold: recall of at least 0.99, no link below."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    rng = np.random.default_rng(8)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table if r.embedding is not None]
+    for k in range(400):
+        x, y = (embed_dedup.unit(rng.standard_normal((1, 64)))[0] for _ in range(2))
+        y = embed_dedup.unit((y - (x @ y) * x)[None])[0]
+        c = rng.uniform(0.9, 0.93)
+        rows += [(100_000 + 2 * k, x.tolist()), (100_001 + 2 * k, (c * x + (1 - c * c) ** 0.5 * y).tolist())]
+    cosines = embed_dedup.unit(np.array([v for _, v in rows]))
+    cosines = cosines @ cosines.T
+    near = cosines >= 0.9
+    np.fill_diagonal(near, False)
+    for block in (4000, 60):  # all in one bucket; many signs a bucket
+        got = {r.vec_id: r for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect()}
+        found = np.array([got[i].n_links for i, _ in rows])
+        assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.99 * near.sum()
+    query = {r.vec_id: r.n_links for r in queries.op7_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    own = near[: len(table), : len(table)].sum(axis=1)
+    assert [query[i] for i, _ in rows[: len(table)]] == own.tolist()
+
+
 def brute_links(rows):
     """n_links and class of (id, text) rows by whole comparison."""
     sets = []
@@ -327,6 +350,22 @@ def test_jaccard_join_by_brute_force(spark, docs):
     assert [got[i].class_id for i, _ in rows] == [rows[k][0] for k in root]
 
 
+def test_jaccard_query_by_brute_force(spark):
+    """The registered query on its own table; links at and just above the threshold are planted besides."""
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    n, root = brute_links(rows)
+    got = {r.doc_id: r for r in queries.op10_ngram_jaccard_join(spark, sf).collect()}
+    assert [got[i].n_links for i, _ in rows] == n and [got[i].class_id for i, _ in rows] == [rows[k][0] for k in root]
+    planted = []
+    for k in range(300):  # up to 11 of 104 words changed at the end: similarity 1 to 89 / 111, about 0.8
+        words = [f"k{k}w{i}" for i in range(104)]
+        planted += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 104 - k % 12] + [f"k{k}x{i}" for i in range(k % 12)]))]
+    n, _ = brute_links(planted)
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(spark.createDataFrame(planted, "doc_id long, text string")).collect()}
+    assert all(got[i] <= m for (i, _), m in zip(planted, n)) and sum(got.values()) >= 0.99 * sum(n)
+
+
 def test_jaccard_edge_cases(edge, none):
     out = collections.defaultdict(set)
     for r in jaccard_join.join(edge).collect():

@@ -131,14 +131,41 @@ def test_prefix_depth_shortens_until_the_recall_is_met():
     assert 1 - (1 - 0.8**depth) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 16
 
 
+def test_recall_is_estimated_from_what_was_found():
+    rng = np.random.default_rng(4)
+    true = rng.uniform(0.8, 0.84, 40_000)
+    for level in (6, 5, 4):
+        met = true[rng.random(len(true)) < jaccard_join.meeting_chance(true, 16, level)]
+        found = np.bincount(np.round(met * 10_000).astype(int), minlength=10_001)
+        assert jaccard_join.estimated_recall(found, 16, level, 0.8, bands=1) == pytest.approx(len(met) / len(true), abs=0.002)
+    assert jaccard_join.estimated_recall(np.zeros(97), 16, 6, 0.8) == 0
+    copies = np.zeros(97)
+    copies[96] = 1_000_000
+    assert jaccard_join.estimated_recall(copies, 16, 6, 0.8) > 0.9999
+    copies[77] = 3  # a few links at the threshold aren't hidden by many copies
+    assert jaccard_join.estimated_recall(copies, 16, 6, 0.8) < 0.997
+
+
+def test_codes_exclude_no_pair_above_the_threshold():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64))
+    y = 0.9 * embed_dedup.unit(x)
+    other = rng.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) / (x * x).sum(axis=1, keepdims=True) * x
+    y = y + (1 - 0.81) ** 0.5 * embed_dedup.unit(other)
+    turn = embed_dedup.rotations(64, 2)
+    a, b = embed_dedup.encode(embed_dedup.unit(x), turn)[0], embed_dedup.encode(embed_dedup.unit(y), turn)[0]
+    assert ((a == b).sum(axis=1) >= embed_dedup.least_agreement(128, 0.9, 5.0)).mean() > 0.9999
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((4000, 64))
     y = 0.8 * x + 0.6 * rng.standard_normal(x.shape)
     x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
     turn = embed_dedup.rotations(64, 4)
-    _, code, factor = embed_dedup.encode(x, turn, 4)
-    found, bound = embed_dedup.estimate(code, factor, y @ turn, 4, 5.0)
+    signs, factor = embed_dedup.encode(x, turn)
+    found, bound = embed_dedup.estimate(np.where(signs, 1, -1), factor, y @ turn, 64, 5.0)
     true = (x * y).sum(axis=1)
     assert abs((found - true).mean()) < 0.005 and (np.abs(found - true) <= bound).all()
 

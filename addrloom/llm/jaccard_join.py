@@ -1,16 +1,20 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A document's signature is cut into trees; in a tree, documents with a common
-prefix of the signature share a bucket of the sorted trie. Prefixes start at
-their full depth and are shortened until a pair at the threshold meets in some
-tree with the target recall. Each pair is taken from the first tree where it
-meets, checked by the share of equal minima, and verified on whole sets of
-hashed word shingles. Texts with the same words are one class from the start.
+A document's signature is cut into trees; in a tree, the signature's part is a
+label, and documents with a common prefix of their labels share a node of the
+sorted trie. Prefixes begin at their full depth and are shortened level by
+level: each level adds the pairs that meet there first, and from the similarity
+of all pairs found so far and their chance to be found the recall is estimated.
+Shortening ends at the target recall, or at the depth where a pair at the
+threshold meets with the target chance whatever was found. Pairs are then
+verified on whole sets of hashed word shingles. Texts with the same words are
+one class from the start.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -100,11 +104,12 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 full = [i for i, w in enumerate(split) if w]
                 sig = signatures([shingles(split[i]) for i in full], width)
                 yield pd.DataFrame({
-                    "id": part["_id"].to_numpy()[full], "words": [hashlib.blake2b(b" ".join(split[i]), digest_size=16).digest() for i in full], "sig": [s.astype("<u4").tobytes() for s in sig],
+                    "id": part["_id"].to_numpy()[full], "words": [hashlib.blake2b(b" ".join(split[i]), digest_size=16).digest() for i in full],
+                    "size": [len(split[i]) for i in full], "sig": [s.astype("<u2").tobytes() for s in sig],
                 })
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_id").isNotNull())
-    return rows.mapInPandas(sketch, "id long, words binary, sig binary")
+    return rows.mapInPandas(sketch, "id long, words binary, size long, sig binary")
 
 
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,45 +131,92 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[at[: len(a)], at[len(a) :]].astype(np.int64)
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, trees: int = 16, depth: int = 8, recall: float = 0.999, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+def meeting_chance(similarity: np.ndarray, trees: int, level: int) -> np.ndarray:
+    """Chance of a pair to share a prefix of ``level`` minima in some tree."""
+    return 1 - (1 - similarity**level) ** trees
+
+
+def estimated_recall(found: np.ndarray, trees: int, level: int, similarity: float, bands: int = 5) -> float:
+    """Share of links that prefixes of ``level`` minima find, by what they found.
+
+    ``found`` counts the pairs by their number of equal minima. Each stands for
+    the inverse of its chance; the least share of ``bands`` equal parts of the
+    range from the threshold up counts, so that many near copies don't hide a
+    loss at the threshold. Without a link nothing is known: 0.
+    """
+    width = len(found) - 1
+    s = np.arange(width + 1) / width
+    link = (s >= similarity) & (found > 0)
+    band = np.minimum(((s - similarity) / (1 - similarity) * bands).astype(int), bands - 1)
+    stands_for = found / np.maximum(meeting_chance(s, trees, level), 1e-12)
+    shares = [found[own].sum() / stands_for[own].sum() for k in range(bands) if (own := link & (band == k)).any()]
+    return min(shares, default=0.0)
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, trees: int = 16, depth: int = 6, recall: float = 0.999, block: int = 1000, block_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(members, found): id, rep, copies of every document with words; and a, b, n of links between classes.
 
     Rows of ``found`` with b null carry n, links that one cell found for class a,
     copies counted; rows with b are links of a spanning forest.
     """
-    depth = prefix_depth(trees, depth, similarity, recall)
-    width = trees * depth
+    floor, width = prefix_depth(trees, depth, similarity, recall), trees * depth
     # four standard errors below the threshold: the verification decides on the rest
     least = similarity - 4 * (similarity * (1 - similarity) / width) ** 0.5
     rows = materialize(_sketch(docs, id_col, text_col, width), "sketch")
-    classes = rows.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = rows.groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    prefixes = F.posexplode(F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * depth * t, 4 * depth)) for t in range(trees))))
-    keyed = classes.select("rep", prefixes.alias("tree", "prefix"))
-    key = ["tree", "prefix"]
-    cells = materialize(in_cells(keyed, key, "rep", block), "forest-cells")
-
-    def meeting(pdf, number):
-        """Pairs that pass the check, from the first tree where they meet."""
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u4").reshape(len(pdf), width)
-        tree = pdf["tree"].to_numpy()
+    key = ["level", "tree", "prefix"]
+    label = lambda tree: F.substring(F.col("sig"), F.lit(1) + tree * (2 * depth), F.lit(2 * depth))
+
+    # what shares no shortest prefix shares no longer one
+    nodes = F.posexplode(F.array(*(F.xxhash64(F.substring("sig", 1 + 2 * depth * t, 2 * floor)) for t in range(trees))))
+    keyed = classes.select("rep", nodes.alias("tree", "node"))
+    shared = keyed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    forest_rows = keyed.join(shared, ["tree", "node"], "left_semi").join(classes.select("rep", "size", "sig"), "rep").select("tree", label(F.col("tree")).alias("label"), "rep", "size", "sig")
+    tries = materialize(forest_rows.repartition("tree", F.substring("label", 1, 2 * floor)).sortWithinPartitions("tree", "label"), "forest")
+
+    def met(pdf, number):
+        """Pairs that pass the check where they meet first: the longest prefix, then the first tree; and their equal minima."""
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u2").reshape(len(pdf), width)
+        tree, level = pdf["tree"].to_numpy(), pdf["level"].to_numpy()
         for a, b in pairs(pdf, number):
             equal = sig[a] == sig[b]
-            first = equal.reshape(len(a), trees, depth).all(axis=2).argmax(axis=1)
-            ok = (first == tree[a]) & (equal.sum(axis=1) >= least * width)
+            total = equal.sum(axis=1)
+            near = np.flatnonzero(total >= least * width)
+            if not len(near):
+                continue
+            a, b, total = a[near], b[near], total[near]
+            common = np.minimum.accumulate(equal[near].reshape(len(near), trees, depth), axis=2).sum(axis=2)
+            longest = np.maximum(common.max(axis=1), floor)
+            ok = (longest == level[a]) & (common.argmax(axis=1) == tree[a])
             if ok.any():
-                yield a[ok], b[ok]
+                yield a[ok], b[ok], total[ok]
+
+    placed = "level int, tree int, prefix long, _block int, _cell_i int, _cell_j int, rep long, equal int, n long"
+    columns = [x.split()[0] for x in placed.split(", ")]
 
     def active(batches):
+        """The classes of a cell that are in a pair there, and the pairs counted by their equal minima (rep null)."""
         for pdf, number in whole_cells(batches, key):
-            hit = np.zeros(len(pdf), dtype=bool)
-            for a, b in meeting(pdf, number):
+            hit, seen = np.zeros(len(pdf), dtype=bool), np.zeros(width + 1, dtype=np.int64)
+            for a, b, total in met(pdf, number):
                 hit[a] = hit[b] = True
-            yield pdf.loc[hit, ["tree", "prefix", "_block", "_cell_i", "_cell_j", "rep"]]
-
-    placed = "tree int, prefix long, _block int, _cell_i int, _cell_j int, rep long"
-    with_sig = cells.join(classes.select("rep", "sig"), "rep").select(*key, "_block", "_cell_i", "_cell_j", "rep", "sig")
-    hits = materialize(dealt(with_sig, key).mapInPandas(active, placed), "active")
+                seen += np.bincount(total, minlength=width + 1)
+            yield pdf.loc[hit, columns[:-2]].assign(equal=None, n=None).astype({"equal": "Int32", "n": "Int64"})
+            if at := np.flatnonzero(seen).tolist():
+                yield pd.DataFrame({c: pd.array([None] * len(at), dtype="Int64") for c in columns[:-2]}).assign(equal=at, n=seen[at])
+
+    tables, seen = [], np.zeros(width + 1)
+    for level in range(depth, floor - 1, -1):
+        nodes = tries.select(F.lit(level).alias("level"), "tree", F.xxhash64(F.substring("label", 1, 2 * level)).alias("prefix"), "rep", "size", "sig")
+        cells = in_cells(nodes, key, "rep", block, "size", block_words).drop("size")
+        level_hits = materialize(dealt(cells, key).mapInPandas(active, placed), f"level-{level}")
+        tables.append(level_hits.where("rep is not null").drop("equal", "n"))
+        for equal, n in level_hits.where("rep is null").groupBy("equal").agg(F.sum("n")).collect():  # at most a row per number of equal minima
+            seen[equal] += n
+        if estimated_recall(seen, trees, level, similarity) >= recall:
+            break
+    hits = reduce(DataFrame.unionByName, tables)
 
     def sets(batches):
         for pdf in batches:
@@ -185,7 +237,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             size, rep, copies = np.array([len(x) for x in own]), pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
             n = np.zeros(len(pdf), dtype=np.int64)
             ga, gb = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for a, b in meeting(pdf, number):
+            for a, b, _ in met(pdf, number):
                 order = np.argsort(number[a], kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(number[a[order]])) + 1):
                     common = _common(own, a[at], b[at])

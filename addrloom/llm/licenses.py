@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .license_texts import LICENSES, all_texts
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
 #: Equivalent spellings, as (pattern, replacement) on lower-case text; both sides of the join pass them.
 SPELLINGS = (
     (r"(licen|practi|offen|defen)ce", "$1se"),
@@ -25,23 +24,30 @@ SPELLINGS = (
     (r"whilst", "while"),
     (r"https:", "http:"),
 )
-#: Words after "copyright" in the body of a licence, where it is no statement of a holder.
-_BODY = r"(?:notice|holder|owner|law|licen|interest|right|statement|claim|treat|protect|infring|permission|disclaim|status|management|and\b|or\b|on\b|to\b|in\b|is\b|for\b|of\b|this\b|the\b|as\b|by the\b|doctrine|applies|resulting|has\b|with\b|means)"
+#: Line ends that become line feeds first, so that both engines see the same lines.
+LINE_END = r"\r\n?|[\x{85}\x{2028}\x{2029}]"
+#: "copyright" before a word of a licence's body is no statement of a holder: it is marked before statements go, and restored after.
+BODY = r"copyright([ \t]+(?:notice|holder|owner|law|licen|interest|right|statement|claim|treat|protect|infring|permission|disclaim|status|management|doctrine|applies|resulting|means|(?:and|or|on|to|in|is|for|of|this|the|as|has|with|by the)(?:[^a-z]|$)))"
 #: How the text goes on after a statement on the same line.
-_OPENINGS = r"(?:all rights reserved|permission is hereby|permission to use|redistribution and use|this software is|this program|this library|everyone is permitted|licen[sc]ed under|released under|this work is|this is free|the mit license|mit license|gnomovision)"
-#: A statement of a holder up to such an opening or the end of the line, on lower-case text. For lookups of a licence; digests have COPYRIGHT_LINE.
-STATEMENT = r"(?m)(?:^[^\p{L}\p{N}\n]*copyright[^\S\n]+(?!" + _BODY + r")(?=\S)|\bcopyright[^\p{L}\p{N}\n]*(?:\(c\)|©|[0-9]{4}|<year)|\(c\)[^\p{L}\p{N}\n]*(?:copyright|[0-9]{4})|©)[^\n]{0,200}?(?=\b" + _OPENINGS + "|$)"
-RESERVED = r"\ball rights reserved\b"
+OPENINGS = r"all rights reserved|permission is hereby|permission to use|redistribution and use|this software is|this program|this library|everyone is permitted|licen[sc]ed under|released under|this work is|this is free|the mit license|mit license|gnomovision"
+#: A statement of a holder up to such an opening or the end of the line.
+STATEMENT = r"(?m)(?:^[^\p{L}\p{N}\n]*copyright[ \t]+[^\s]|copyright[^\p{L}\p{N}\n]*(?:\(c\)|©|[0-9]{4}|<year)|\(c\)[^\p{L}\p{N}\n]*(?:copyright|[0-9]{4})|©)[^\n]{0,200}?(" + OPENINGS + "|$)"
+RESERVED = "all rights reserved"
+_MARK = "\x01"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: The known table is broadcast only up to this many rows; above it the join shuffles.
 BROADCAST_ROWS = 10_000
 
 
 def canonical(text: Column) -> Column:
-    return _words(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""))
+    """Lower case without statements of holders, in one spelling, words parted by one space.
 
-
-def _words(out: Column) -> Column:
+    Lines of a licence that begin with "copyright" stay, and so does what follows a statement on its line.
+    """
+    out = F.regexp_replace(F.lower(text), LINE_END, "\n")
+    out = F.regexp_replace(out, BODY, f"copy{_MARK}right$1")
+    out = F.replace(F.regexp_replace(out, STATEMENT, " $1"), F.lit(_MARK), F.lit(""))
+    out = F.replace(out, F.lit(RESERVED), F.lit(" "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to) if "(" in pattern else F.replace(out, F.lit(pattern), F.lit(to))
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
@@ -51,50 +57,44 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def body_digest(text: Column) -> Column:
-    """Of the text without statements of holders; lines of the licence that begin with "copyright" stay, and what follows a statement on its line."""
-    out = _words(F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), RESERVED, " "))
-    return F.sha2(out.cast("binary"), 256)
-
-
-def known(spark, texts=LICENSES, by=digest) -> DataFrame:
+def known(spark, texts=LICENSES) -> DataFrame:
     """(digest, license_id) of (licence, text) pairs; the first name in order of texts that come out alike."""
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    return rows.select(by(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return rows.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, texts=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license_id for every row; license_id is null where the text is no known licence.
 
-    ``texts`` are all known ones by default. A text is looked up by its digest,
-    then by that of its body. Null and empty texts, and texts without a letter
-    or digit, have the digest of the empty text, which is no licence. Repeated
-    rows each get their answer. Other columns are not returned.
+    ``texts`` are all known ones by default. Null and empty texts, and texts
+    without a letter or digit, have the digest of the empty text, which is no
+    licence. Repeated rows each get their answer. Other columns are not returned.
     """
     texts = all_texts() if texts is None else texts
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), body_digest(text).alias("_body"))
-    for by, key, name in ((digest, "digest", "_whole"), (body_digest, "_body", "_lookup")):
-        table = known(docs.sparkSession, texts, by).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256)).toDF(key, name)
-        rows = rows.join(F.broadcast(table) if len(texts) <= BROADCAST_ROWS else table, key, "left")
-    return rows.select("doc_id", "digest", F.coalesce("_whole", "_lookup").alias("license_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest"))
+    table = known(docs.sparkSession, texts).where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
+    return rows.join(F.broadcast(table) if len(texts) <= BROADCAST_ROWS else table, "digest", "left").select("doc_id", "digest", "license_id")
 
 
-def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
+def _sql_digest(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{LINE_END}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{BODY}', 'copy' || chr(1) || 'right\\1', 'g')"
+    out = f"replace(regexp_replace({out}, '{STATEMENT}', ' \\1', 'g'), chr(1), '')"
+    out = f"replace({out}, '{RESERVED}', ' ')"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     return f"sha256(trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')))"
 
 
-def sql(texts=LICENSES) -> str:
-    values = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in pair)) for pair in texts)
+def sql(texts=None) -> str:
+    """The scan in DuckDB SQL, with all known texts by default."""
+    values = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in pair)) for pair in (all_texts() if texts is None else texts))
     return f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id FROM (
-    SELECT {_sql_canonical("text")} AS digest, license_id FROM (VALUES {values}) AS v(license_id, text)) GROUP BY digest
+    SELECT {_sql_digest("text")} AS digest, license_id FROM (VALUES {values}) AS v(license_id, text)) GROUP BY digest
 ), scanned AS (
-  SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS digest FROM documents
+  SELECT doc_id, {_sql_digest("coalesce(text, '')")} AS digest FROM documents
 )
 SELECT s.doc_id, s.digest, k.license_id FROM scanned s LEFT JOIN known k ON k.digest = s.digest AND k.digest <> sha256('')
 """

@@ -116,8 +116,15 @@ def test_license_scan_of_entire_licences(spark):
         ("BSD-3-Clause", "Copyright (c) 2020, A B. All rights reserved.\n\n" + bsd.replace("above copyright", "above\ncopyright")), ("Apache-2.0", whole["Apache-2.0"]), ("MPL-2.0", "\n".join(textwrap.wrap(whole["MPL-2.0"], 60))),
         *((n, whole[n]) for n in ("GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "CC0-1.0")), (None, "All rights reserved."), (None, "Copyright (c) 2020 Jane Doe"), (None, bsd + " Except on Sundays."), (None, whole["GPL-2.0-only"][:9000]),
     ]
-    out = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
-    assert {r.doc_id: r.license_id for r in out.collect()} == {i: n for i, (n, _) in enumerate(rows)}
+    rows += [("ISC", "Copyright (c) 2020 A\nCopyright 2021 B C\n\n" + "\r\n".join(textwrap.wrap(isc, 78))), ("ISC", "\n".join(textwrap.wrap(isc, 44))), ("ISC", isc.replace("that the above copyright", "that the above\ncopyright")), ("MIT", "© 2020 Jane Doe\n" + mit)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    expected = {i: n for i, (n, _) in enumerate(rows)}
+    assert {r.doc_id: r.license_id for r in licenses.scan(docs).collect()} == expected
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(con.sql(licenses.sql()).fetchall()) == sorted(tuple(r) for r in licenses.scan(docs).collect())
 
 
 def test_language_edge_cases(spark, edge, none, docs):

@@ -37,7 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._scratch)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cells import dealt, forest, in_cells, sides, whole_cells
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 COSINE = 0.9
@@ -190,6 +190,7 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     full = hits.join(classes.select("rep", "v", "copies"), "rep").join(sketch.select("rep", "code", "factor"), "rep")
     found = materialize(dealt(full, key).mapInPandas(verify, "a long, b long, n long"), "vector-links")
+    discard(hits, sketch)
     return members, found
 
 

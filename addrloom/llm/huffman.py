@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, scratch_path, shuffle_width
+from .common import discard, materialize, scratch_path, shuffle_width
 
 STEP = 256
 BLOCK_IDS = 1 << 20
@@ -243,4 +243,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "
     tokens = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     path = scratch_path(docs.sparkSession, "huffman")
     write(tokens, path)
+    discard(tokens)
     return read(docs.sparkSession, path, with_ids=False).drop("ids")

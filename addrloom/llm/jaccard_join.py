@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt, forest, in_cells, pairs, whole_cells
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -206,17 +206,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             if at := np.flatnonzero(seen).tolist():
                 yield pd.DataFrame({c: pd.array([None] * len(at), dtype="Int64") for c in columns[:-2]}).assign(equal=at, n=seen[at])
 
-    tables, seen = [], np.zeros(width + 1)
+    tables, seen = [], np.zeros(width + 1)  # of the levels
     for level in range(depth, floor - 1, -1):
         nodes = tries.select(F.lit(level).alias("level"), "tree", F.xxhash64(F.substring("label", 1, 2 * level)).alias("prefix"), "rep", "size", "sig")
         cells = in_cells(nodes, key, "rep", block, "size", block_words).drop("size")
         level_hits = materialize(dealt(cells, key).mapInPandas(active, placed), f"level-{level}")
-        tables.append(level_hits.where("rep is not null").drop("equal", "n"))
+        tables.append(level_hits)
         for equal, n in level_hits.where("rep is null").groupBy("equal").agg(F.sum("n")).collect():  # at most a row per number of equal minima
             seen[equal] += n
         if estimated_recall(seen, trees, level, similarity) >= recall:
             break
-    hits = reduce(DataFrame.unionByName, tables)
+    hits = reduce(DataFrame.unionByName, tables).where("rep is not null").drop("equal", "n")
 
     def sets(batches):
         for pdf in batches:
@@ -252,6 +252,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             yield pd.DataFrame({"a": np.concatenate([rep[some], np.array([e[0] for e in edges], dtype=np.int64)]), "b": pd.array([None] * int(some.sum()) + [e[1] for e in edges], dtype="Int64"), "n": np.concatenate([n[some], np.zeros(len(edges), dtype=np.int64)])})
 
     found = materialize(dealt(full, key).mapInPandas(verify, "a long, b long, n long"), "links")
+    discard(tries, *tables)
     members = rows.select("id", "words").join(classes.select("words", "rep", "copies"), "words").select("id", "rep", "copies")
     return members, found
 

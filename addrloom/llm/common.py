@@ -42,6 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Return memory that a worker's allocators hold unused: workers are kept for the tasks to come."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that nothing reads any more."""
     for table in tables:

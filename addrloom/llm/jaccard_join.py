@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import dealt, forest, in_cells, pairs, whole_cells
-from .common import discard, materialize
+from .common import discard, give_back, materialize
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -107,6 +107,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                     "id": part["_id"].to_numpy()[full], "words": [hashlib.blake2b(b" ".join(split[i]), digest_size=16).digest() for i in full],
                     "size": [len(split[i]) for i in full], "sig": [s.astype("<u2").tobytes() for s in sig],
                 })
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.col("_id").isNotNull())
     return rows.mapInPandas(sketch, "id long, words binary, size long, sig binary")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stratified_sample
+from .common import crc_mod, give_back, stratified_sample
 
 ORDERS = (1, 2, 3, 4)
 _MULTIPLIER = 2654435761
@@ -146,6 +146,7 @@ def predictor(model: Model | None, least_lead: float = 0.1, block: int = 256):
             at = known[start : start + block]
             best, p, lead = model.decode(np.stack([features(values[i], model.buckets) for i in at]))
             lang[at], score[at], ambiguous[at] = [model.langs[k] for k in best], p, lead < least_lead
+        give_back()
         return pd.DataFrame({"lang_pred": lang, "score": np.clip(score, 0, 1), "ambiguous": ambiguous})
 
     return predict

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sampled_rows, stratified_sample
+from .common import crc_mod, give_back, sampled_rows, stratified_sample
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLOCK = 1 << 20
@@ -114,7 +114,9 @@ def scorer(model: Model | None):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([0.5 if model is None else model.score(t or "") for t in texts], dtype="float64")
+        out = pd.Series([0.5 if model is None else model.score(t or "") for t in texts], dtype="float64")
+        give_back()
+        return out
 
     return score
 

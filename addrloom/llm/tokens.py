@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Where cuts depend on more than one character: runs of white space, white space at an end, other white space; and our own marks.
 _WHOLE = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_MANY_BYTES = 12 << 20
+_MANY_BYTES = 6 << 20
 _LETTERS = re.compile(r"[\n\x00]?([A-Za-zÀ-ÖØ-öø-ÿ]+)\Z")
 #: Between a letter and a mark there is always a cut.
 _BEFORE_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|#*$%&])"
@@ -102,6 +104,7 @@ class Encoder:
             stop = max(start + 1, int(np.searchsorted(ends, done + _MANY_BYTES, side="right")))
             yield start, self._batch(pc.fill_null(texts[start:stop].cast(pa.large_string()), ""))
             start = stop
+        give_back()
 
     def _batch(self, column: pa.Array) -> list[np.ndarray]:
         out: list = [np.zeros(0, dtype="<u4")] * len(column)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import random
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from ..functions import noise
 from ..functions.similarity import ratio_udf
 from ..functions.text import query_key, canonical_line
 from ..functions.vocab import PARTS
+from ..storage import numbered, stored
 
 
 @F.pandas_udf(T.StringType())
@@ -41,7 +41,7 @@ def take(pool: DataFrame, n: int, prefix: str, exclude: DataFrame | None = None)
     """The first n records of a shuffled pool that aren't excluded, as PREFIX_000001...; too few are an error."""
     free = pool if exclude is None else pool.join(exclude.select("canonical_address"), "canonical_address", "left_anti")
     first = free.orderBy("_order", "address_id").limit(n)
-    named = first.withColumn("_k", F.row_number().over(Window.orderBy("_order", "address_id"))).withColumn("address_id", F.format_string(f"{prefix}_%06d", F.col("_k"))).drop("_k")
+    named = numbered(first, ["_order", "address_id"], "_k").withColumn("address_id", F.format_string(f"{prefix}_%06d", F.col("_k"))).drop("_k")
     if n and named.count() < n:
         raise ValueError(f"fewer than {n} unused records for {prefix}")
     return named
@@ -98,62 +98,95 @@ def near_misses(pool: DataFrame, reference: DataFrame, n: int, exclude: DataFram
     near = free.join(best, "canonical_address").withColumn("reason", F.concat(F.lit("near_neighbor_"), "reason"))
     rest = free.join(best, "canonical_address", "left_anti").withColumns({"reason": F.lit("fallback_holdout"), "score": F.lit(0.0)})
     top = near.unionByName(rest).orderBy(F.desc("score"), "_order", "address_id").limit(n)
-    named = top.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("score"), "_order", "address_id")))
+    named = numbered(top, [F.desc("score"), "_order", "address_id"], "_k")
     return named.withColumn("address_id", F.format_string("NEG_ADV_%06d", F.col("_k"))).drop("_k", "score")
 
 
-def noisy(records: DataFrame, cities: dict, seed: int, plan: str, per: int = 1, tries: int = 40) -> DataFrame:
-    """records x variants: variant, query_address options, difficulty, noise_tags.
+#: Chances of the difficulties of negatives.
+_NEGATIVE = {"easy": 0.16, "medium": 0.44, "hard": 0.40}
+#: Attempts at a text, some at a time: few rows need more than the first.
+_ROUNDS = (4, 16, 20)
 
-    ``plan`` is positive (difficulties planned over ``per`` variants), negative
-    or hard. Each record has a generator of its id and the seed; the options are
-    taken in order until one has a safe label.
-    """
-    kind = T.ArrayType(T.StructType([T.StructField("variant", T.IntegerType()), T.StructField("options", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("query_address", "difficulty", "noise_tags")])))]))
 
-    @F.pandas_udf(kind)
-    def make(ids: pd.Series, parts: pd.DataFrame) -> pd.Series:
-        edits = noise.pools(cities)
-        out = []
-        for key, row in zip(ids, parts.to_dict("records")):
-            rng = random.Random(f"{seed}|{plan}|{key}")
-            wanted = ["hard"] * per if plan == "hard" else noise.planned(per, rng) if plan == "positive" else [noise.weighted(rng, {"easy": 0.16, "medium": 0.44, "hard": 0.40}) for _ in range(per)]
-            out.append([{"variant": i, "options": [dict(zip(("query_address", "difficulty", "noise_tags"), noise.corrupt(row, rng, edits, d))) for _ in range(4)]} for i, d in enumerate(wanted)])
-        return pd.Series(out)
+def cities_by_state(pool: DataFrame) -> DataFrame:
+    """state, cities: the known cities of each state, sorted."""
+    return pool.where("state != '' AND city != ''").groupBy("state").agg(F.array_sort(F.collect_set("city")).alias("cities"))
 
-    struct = F.struct(*(F.col(p) for p in PARTS))
-    return records.withColumn("_v", F.explode(make("address_id", struct))).select(*records.columns, "_v.variant", "_v.options")
 
+def variants(records: DataFrame, seed: int, plan: str, per: int = 1) -> DataFrame:
+    """records x variants: variant, difficulty and _seed.
 
-def label_safe(made: DataFrame, reference: DataFrame, label: int) -> DataFrame:
-    """The first option whose text names no reference row but the true one, and not two; rows without one are dropped into an error by ``build``."""
-    index = reference.select(query_key("canonical_address").alias("_key"), "address_id").groupBy("_key").agg(F.collect_set("address_id").alias("_named"))
-    one = made.select("*", F.posexplode("options").alias("_o", "option")).withColumn("_key", query_key("option.query_address")).join(index, "_key", "left")
-    named = F.coalesce(F.col("_named"), F.array().cast("array<string>"))
-    ok = (F.size(named) == 0) | ((F.size(named) == 1) & F.array_contains(named, F.col("address_id"))) if label else F.size(named) == 0
-    return one.where(ok).groupBy("address_id", "variant").agg(F.min_by("option", "_o").alias("option"))
+    ``plan`` is positive (difficulties planned over ``per`` variants), negative
+    or hard. All draws are hashes of the record's id and the seed.
+    """
+    own = F.xxhash64(F.lit(seed), F.lit(plan), "address_id")
+    if plan == "positive":
+        wanted = noise.planned(own, per)
+    elif plan == "negative":
+        wanted = F.array(*(noise.drawn(noise.fraction(own, F.lit("level"), F.lit(i)), _NEGATIVE) for i in range(per)))
+    else:
+        wanted = F.array(*[F.lit("hard")] * per)
+    each = records.select("*", F.posexplode(wanted).alias("variant", "difficulty"))
+    return each.withColumn("_seed", F.xxhash64(own, "variant"))
+
+
+def noisy(wanted: DataFrame, cities: DataFrame | None, attempts: range = range(1)) -> DataFrame:
+    """Rows of ``variants`` with attempt, query_address and noise_tags, once an attempt."""
+    known = wanted.withColumn("cities", F.lit(None).cast("array<string>")) if cities is None else wanted.join(cities, "state", "left")
+    tried = known.withColumn("attempt", F.explode(F.array(*map(F.lit, attempts))))
+    made = tried.withColumn("_state", noise.states(F.col("cities"), F.col("difficulty"), F.xxhash64("_seed", "attempt")))
+    text, tags = noise.corrupted("_state")
+    return made.withColumns({"query_address": text, "noise_tags": tags}).drop("cities", "_state")
+
+
+def label_is_safe(made: DataFrame, reference: DataFrame, label: int) -> DataFrame:
+    """Rows whose text names no reference row but the true one, and not two."""
+    index = reference.select(query_key("canonical_address").alias("_key"), "address_id").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("address_id").alias("_named"))
+    joined = made.withColumn("_key", query_key("query_address")).join(index, "_key", "left")
+    ok = F.col("_n").isNull()
+    return joined.where(ok | ((F.col("_n") == 1) & (F.col("_named") == F.col("address_id"))) if label else ok).drop("_key", "_n", "_named")
+
+
+def labelled(wanted: DataFrame, cities: DataFrame | None, reference: DataFrame, label: int, rounds: tuple[int, ...] = _ROUNDS, keep=stored) -> DataFrame:
+    """One text with a safe label for every row of ``variants``: the first of its attempts, 40 in all; rows without one are an error.
+
+    Only rows that are still without a text go through the next round.
+    """
+    key, done, start = ["address_id", "variant"], [], 0
+    left = wanted
+    for n in rounds:
+        made = label_is_safe(noisy(left, cities, range(start, start + n)), reference, label)
+        best = made.groupBy(*key).agg(F.min_by(F.struct("query_address", "noise_tags"), "attempt").alias("_best"))
+        done.append(keep(left.join(best, key).select(*left.columns, "_best.*")))
+        left, start = keep(left.join(done[-1].select(*key), key, "left_anti")), start + n
+        if left.isEmpty():
+            out = done[0]
+            for more in done[1:]:
+                out = out.unionByName(more)
+            return out.drop("_seed")
+    raise ValueError(f"{left.count()} records got no text with a safe label in {start} attempts, such as {left.first().address_id}")
 
 
 def build(pool: DataFrame, size: int, holdouts: int, adversarial: int, per: int = 3, seed: int = 4633) -> dict[str, DataFrame]:
     """reference, negatives, adversarial and queries of a pool (address_id and the ten parts)."""
-    ready = shuffled(pool, seed)
-    cities = {r.state: tuple(r.c) for r in pool.where("state != '' AND city != ''").groupBy("state").agg(F.array_sort(F.collect_set("city")).alias("c")).collect()}
-    reference = take(ready, size, "REF")
-    negatives = take(ready, holdouts, "NEG", reference)
-    hard = near_misses(ready, reference, adversarial, negatives)
+    ready = stored(shuffled(pool, seed))
+    cities = stored(cities_by_state(pool))
+    reference = stored(take(ready, size, "REF"))
+    negatives = stored(take(ready, holdouts, "NEG", reference))
+    hard = stored(near_misses(ready, reference, adversarial, negatives))
     groups = ((reference, "positive", per, 1, "reference_variant"), (negatives, "negative", 1, 0, "holdout_no_match"), (hard, "hard", 1, 0, "adversarial_no_match"))
     queries = None
     for i, (records, plan, n, label, source) in enumerate(groups):
-        safe = label_safe(noisy(records, cities, seed, plan, n), reference, label).join(records, "address_id")
-        tags = F.concat_ws("|", F.lit("adversarial_base"), "reason", "option.noise_tags") if plan == "hard" else F.col("option.noise_tags")
+        safe = labelled(variants(records, seed, plan, n), cities, reference, label)
+        tags = F.concat_ws("|", F.lit("adversarial_base"), "reason", "noise_tags") if plan == "hard" else F.col("noise_tags")
         own = safe.select(
             F.lit(i).alias("_g"), "address_id", "variant", stable_split("address_id").alias("split"), F.lit(label).alias("label"), F.when(F.lit(label == 1), F.col("address_id")).otherwise("").alias("true_match_id"),
-            F.col("address_id").alias("base_address_id"), F.lit(source).alias("source"), "option.difficulty", tags.alias("noise_tags"), "option.query_address",
+            F.col("address_id").alias("base_address_id"), F.lit(source).alias("source"), "difficulty", tags.alias("noise_tags"), "query_address",
             F.when(F.lit(label == 1), F.col("canonical_address")).otherwise("NO_MATCH").alias("canonical_address"),
         )
         queries = own if queries is None else queries.unionByName(own)
-    numbered = queries.withColumn("_k", F.row_number().over(Window.orderBy("_g", "address_id", "variant"))).withColumn("query_id", F.format_string("Q_%07d", F.col("_k")))
-    return {"reference": reference, "negatives": negatives, "adversarial": hard, "queries": numbered.drop("_k", "_g", "variant", "address_id")}
+    named = numbered(queries, ["_g", "address_id", "variant"], "_k").withColumn("query_id", F.format_string("Q_%07d", F.col("_k")))
+    return {"reference": reference, "negatives": negatives, "adversarial": hard, "queries": named.drop("_k", "_g", "variant", "address_id")}
 
 
 def problems(d: dict[str, DataFrame]) -> DataFrame:
@@ -197,3 +230,8 @@ def export(d: dict[str, DataFrame], path: str, config: dict | None = None) -> di
     spark = d["queries"].sparkSession
     spark.createDataFrame([(json.dumps(meta, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
     return meta
+
+
+def preview(queries: DataFrame, limit: int = 8) -> DataFrame:
+    """The first queries: label, difficulty, noise_tags, text and its canonical line."""
+    return queries.orderBy("query_id").limit(limit).select("query_id", "label", "difficulty", "noise_tags", "query_address", "canonical_address")

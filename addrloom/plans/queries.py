@@ -755,8 +755,8 @@ def resolve_end_to_end(spark, d):
 @_query()
 def noise_corrupt(spark, d):
     ref = _raw_ref(spark, d)
-    made = dataset.noisy(ref, {}, 17, "positive", 2)
-    return made.select("address_id", "variant", F.col("options")[0].alias("o")).select("address_id", "variant", "o.*")
+    made = dataset.noisy(dataset.variants(ref, 17, "positive", 2), dataset.cities_by_state(ref))
+    return made.select("address_id", "variant", "query_address", "difficulty", "noise_tags")
 
 
 @_query()

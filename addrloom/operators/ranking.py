@@ -9,14 +9,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions import freeform as ff
-from ..functions.similarity import blended, numeric, overlap, phonetic, ratio
+from ..functions.similarity import similarities
 from ..functions.vocab import ACCEPT_INPUTS, FEATURES, PARTS
 from .reference import BLOCKS, block_keys, postings
 
@@ -74,87 +71,100 @@ def _joined(*names: str) -> Column:
     return F.concat_ws(" ", *(F.nullif(F.col(n), F.lit("")) for n in names))
 
 
-def _rough(p: ff.Parts, r, sig: str) -> float:
-    zip_exact = bool(p.zip_code) and p.zip_code == r.zip_code
-    zip3 = bool(p.zip_code[:3]) and p.zip_code[:3] == r.zip_code[:3]
-    state = bool(p.state) and p.state == r.state
-    return 0.28 * numeric(p.house_number, r.house_number) + 0.24 * blended(p.street_name, r.street_name) + 0.14 * overlap(sig, r.signature) + 0.12 * blended(p.city, r.city) + 0.10 * zip_exact + 0.06 * zip3 + 0.06 * state
-
-
-def _generation(p: ff.Parts, r) -> float:
-    sig = ff.signature(p)
-    score = _rough(p, r, sig)
-    if not p.street_name:
-        return score
-    text = max(blended(p.street_name, r.street_name), ratio(p.street_name, r.street_name), ratio(sig, r.signature), overlap(sig, r.signature))
-    street = max(text, 0.90 * phonetic(p.street_name, r.street_name), 0.90 * phonetic(sig, r.signature))
-    city, state = blended(p.city, r.city), float(bool(p.state) and p.state == r.state)
-    zip_exact, zip3 = float(bool(p.zip_code) and p.zip_code == r.zip_code), float(bool(p.zip_code[:3]) and p.zip_code[:3] == r.zip_code[:3])
-    place, house = max(city, state, zip_exact, zip3), numeric(p.house_number, r.house_number)
-    if place >= 0.86 and street >= 0.66 and text >= 0.58:
-        return max(score, 0.34 + 0.30 * street + 0.10 * city + 0.05 * state + 0.05 * zip_exact + 0.04 * zip3 + 0.08 * house)
-    if place >= 0.86 and p.house_number:
-        return min(score, 0.22 + 0.35 * text + 0.08 * place + 0.10 * house)
-    return score
-
-
-def _features(why: str, p: ff.Parts, r, query_places: set, row_places: set) -> tuple[tuple[float, float], list[float]]:
-    """Order key of a variant and its features, as in FEATURES."""
-    sig = ff.signature(p)
-    full = ratio(ff.standard(p), r.standardized_address)
-    street = max(ratio(p.street_name, r.street_name), 0.95 * ratio(sig, r.signature))
-    city, house = ratio(p.city, r.city), numeric(p.house_number, r.house_number)
-    street_sound = max(phonetic(p.street_name, r.street_name), phonetic(sig, r.signature))
-    city_sound = phonetic(p.city, r.city)
-    equal = lambda f: getattr(p, f) == getattr(r, f)
-    given = lambda f: bool(getattr(p, f)) and equal(f)
-    if query_places:
-        agrees = float((r.city, r.state) in query_places)
-    else:
-        agrees = float((p.city, p.state) in row_places) if r.zip_code and p.city and p.state else 0.5
-    apart = bool(p.house_number and r.house_number) and not equal("house_number") and max(street, street_sound) >= 0.88 and (city >= 0.86 or given("zip_code"))
-    rough = _rough(p, r, sig)
-    values = [
-        1.0, full, street, overlap(sig, r.signature), city, house, given("zip_code"), bool(p.zip_code[:3]) and p.zip_code[:3] == r.zip_code[:3],
-        given("street_type"), not p.street_type, equal("predir"), equal("suffixdir"), given("unit_type") and equal("unit_value"), not (p.unit_type or p.unit_value),
-        given("state"), city == 1.0 and given("state"), given("house_number"), given("street_name"), why != "original", not p.city, not p.state, not p.zip_code,
-        rough, street_sound, city_sound, agrees, apart, r.source_quality,
-    ]
-    return (full + max(street, 0.92 * street_sound) + house + 0.5 * max(city, 0.9 * city_sound) - 0.2 * apart, rough), [float(x) for x in values]
+def _similar(full: bool) -> Column:
+    """Similarities of a variant's parts and a row's (r_...); ``full`` adds those of the features."""
+    own = lambda n: F.col(n)
+    row = lambda n: F.col(f"r_{n}")
+    wanted = {
+        "street": (own("street_name"), row("street_name"), ("ratio", "blended", "phonetic")), "sig": (own("signature"), row("signature"), ("ratio", "overlap", "phonetic")),
+        "city": (own("city"), row("city"), ("blended", "ratio", "phonetic") if full else ("blended",)), "house": (own("house_number"), row("house_number"), ("numeric",)),
+    }
+    if full:
+        wanted["full"] = (own("standardized"), row("standardized_address"), ("ratio",))
+    return similarities(wanted)
 
 
-_ROW = ("standardized_address", "signature", "source_quality", *PARTS)
+def _same(name: str) -> Column:
+    return F.col(name) == F.col(f"r_{name}")
+
+
+def _given(name: str) -> Column:
+    return (F.col(name) != "") & _same(name)
+
+
+def _zip3() -> Column:
+    three = F.substring("zip_code", 1, 3)
+    return (three != "") & (three == F.substring("r_zip_code", 1, 3))
+
+
+def _one(c: Column) -> Column:
+    return c.cast("double")
+
+
+def _sim(name: str) -> Column:
+    return F.col(f"sim.{name}")
+
+
+def rough_score() -> Column:
+    """Of a variant and a row with their similarities ``sim``."""
+    return (
+        0.28 * _sim("house_numeric") + 0.24 * _sim("street_blended") + 0.14 * _sim("sig_overlap") + 0.12 * _sim("city_blended")
+        + 0.10 * _one(_given("zip_code")) + 0.06 * _one(_zip3()) + 0.06 * _one(_given("state"))
+    )
 
 
-def _readings(variants) -> list[tuple[str, ff.Parts]]:
-    return [(x["reason"], ff.Parts(*(x[p] for p in PARTS))) for x in variants]
+def generation_score() -> Column:
+    """The rough score, raised on strong street and place evidence and held down where the street doesn't fit."""
+    rough, city, state, zip_exact, zip3, house = rough_score(), _sim("city_blended"), _one(_given("state")), _one(_given("zip_code")), _one(_zip3()), _sim("house_numeric")
+    text = F.greatest(_sim("street_blended"), _sim("street_ratio"), _sim("sig_ratio"), _sim("sig_overlap"))
+    street = F.greatest(text, 0.90 * _sim("street_phonetic"), 0.90 * _sim("sig_phonetic"))
+    place = F.greatest(city, state, zip_exact, zip3)
+    strong = 0.34 + 0.30 * street + 0.10 * city + 0.05 * state + 0.05 * zip_exact + 0.04 * zip3 + 0.08 * house
+    weak = 0.22 + 0.35 * text + 0.08 * place + 0.10 * house
+    raised = F.when((place >= 0.86) & (street >= 0.66) & (text >= 0.58), F.greatest(rough, strong)).when((place >= 0.86) & (F.col("house_number") != ""), F.least(rough, weak)).otherwise(rough)
+    return F.when(F.col("street_name") == "", rough).otherwise(raised)
+
+
+def feature_values() -> dict[str, Column]:
+    """The features of a variant and a row, by name; ``own_places`` are those of the variant's zip, ``r_places`` those of the row's."""
+    street = F.greatest(_sim("street_ratio"), 0.95 * _sim("sig_ratio"))
+    sound = F.greatest(_sim("street_phonetic"), _sim("sig_phonetic"))
+    city, house = _sim("city_ratio"), _sim("house_numeric")
+    at = lambda c, s: F.concat_ws("\t", c, s)
+    known = F.array_contains("own_places", at("r_city", "r_state"))
+    other = F.when((F.col("r_zip_code") != "") & (F.col("city") != "") & (F.col("state") != ""), _one(F.coalesce(F.array_contains("r_places", at("city", "state")), F.lit(False)))).otherwise(0.5)
+    houses = (F.col("house_number") != "") & (F.col("r_house_number") != "") & ~_same("house_number")
+    apart = houses & (F.greatest(street, sound) >= 0.88) & ((city >= 0.86) | _given("zip_code"))
+    blank = lambda name: F.col(name) == ""
+    found = {
+        "bias": F.lit(1.0), "full_similarity": _sim("full_ratio"), "street_name_similarity": street, "street_signature_overlap": _sim("sig_overlap"), "city_similarity": city, "house_similarity": house,
+        "zip_exact": _given("zip_code"), "zip_prefix": _zip3(), "type_exact": _given("street_type"), "type_missing": blank("street_type"), "predir_exact": _same("predir"), "suffixdir_exact": _same("suffixdir"),
+        "unit_exact": _given("unit_type") & _same("unit_value"), "unit_missing": blank("unit_type") & blank("unit_value"), "state_exact": _given("state"), "city_state_exact": (city == 1.0) & _given("state"),
+        "house_exact": _given("house_number"), "street_exact": _given("street_name"), "locality_corrected": F.col("reason") != "original", "missing_city": blank("city"), "missing_state": blank("state"), "missing_zip": blank("zip_code"),
+        "rough": rough_score(), "street_phonetic_similarity": sound, "city_phonetic_similarity": _sim("city_phonetic"), "zip_city_consistency": F.coalesce(_one(known), other), "house_mismatch_strong_context": apart, "source_quality": F.col("r_source_quality"),
+    }
+    return {n: _one(found[n]) for n in FEATURES}
+
+
+def variant_order(v) -> Column:
+    """How well a variant fits the row; ``v`` gives its features by name."""
+    return (
+        v("full_similarity") + F.greatest(v("street_name_similarity"), 0.92 * v("street_phonetic_similarity")) + v("house_similarity")
+        + 0.5 * F.greatest(v("city_similarity"), 0.9 * v("city_phonetic_similarity")) - 0.2 * v("house_mismatch_strong_context")
+    )
 
 
-@F.pandas_udf(T.DoubleType())
-def _generation_score(variants: pd.Series, row: pd.DataFrame) -> pd.Series:
-    return pd.Series([max(_generation(p, r) for _, p in _readings(v)) for v, r in zip(variants, row.itertuples(index=False))], dtype="float64")
+_ROW = ("standardized_address", "signature", "source_quality", *PARTS)
 
 
-_PLACE_LIST = "array<string>"
+def stage2_variants(read: DataFrame) -> DataFrame:
+    """raw, variant, reason, parts and signature of the stage-2 readings."""
+    one = read.select("raw", F.posexplode("stage2").alias("variant", "_v")).select("raw", "variant", "_v.*")
+    return one.withColumn("signature", _joined("predir", "street_name", "street_type", "suffixdir"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("reason", T.StringType()), T.StructField("standardized", T.StringType()), T.StructField("has_house", T.BooleanType()), T.StructField("has_street", T.BooleanType()), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("original_rough", T.DoubleType())]))
-def _best_features(variants: pd.Series, row: pd.DataFrame, zip_places: pd.Series, row_places: pd.Series) -> pd.DataFrame:
-    """The best variant's features; zip_places: zip -> 'city, tab, state' of the query's zips."""
-    out = []
-    for v, r, own, theirs in zip(variants, row.itertuples(index=False), zip_places, row_places):
-        readings, own = _readings(v), dict(own) if own is not None else {}
-        at = {tuple(x.split("\t")) for x in (theirs if theirs is not None else ())}
-        best = None
-        for why, p in readings:
-            there = own.get(p.zip_code)
-            key, values = _features(why, p, r, {tuple(x.split("\t")) for x in (there if there is not None else ())}, at)
-            if best is None or key > best[0]:
-                best = key, why, p, values
-        _, why, p, values = best
-        first = readings[0][1]
-        out.append((why, ff.standard(p), bool(p.house_number), bool(p.street_name), values, _rough(first, r, ff.signature(first))))
-    return pd.DataFrame(out, columns=["reason", "standardized", "has_house", "has_street", "values", "original_rough"])
+def _rows(ref: DataFrame, names=_ROW) -> DataFrame:
+    return ref.select("address_id", *(F.col(c).alias(f"r_{c}") for c in names))
 
 
 def zip_places(ref: DataFrame) -> DataFrame:
@@ -162,37 +172,45 @@ def zip_places(ref: DataFrame) -> DataFrame:
     return ref.where("zip_code != ''").select("zip_code", F.concat_ws("\t", "city", "state").alias("p")).distinct().groupBy("zip_code").agg(F.array_sort(F.collect_list("p")).alias("places"))
 
 
-def _with_rows(pairs: DataFrame, read: DataFrame, ref: DataFrame) -> DataFrame:
-    """pairs (raw, address_id, ...) with stage-2 variants and the reference row as struct."""
-    row = F.struct(*(F.col(c) for c in _ROW))
-    return pairs.join(read.select("raw", "stage2"), "raw").join(ref.select("address_id", row.alias("row")), "address_id")
-
-
 def candidates(read: DataFrame, ref: DataFrame, base: int = BASE_LIMIT, keep=lambda df: df) -> DataFrame:
     """raw, address_id, cand_ord: the k best rows of each text's pool by generation score, then block score.
 
     Texts whose keys hit nothing but that have a street meet the whole table, as
     blocks of it; such texts are rare, and only their own scores are kept.
     """
-    variants = read.select("raw", F.posexplode("stage2").alias("variant", "_v")).select("raw", "variant", "_v.*")
+    variants = keep(stage2_variants(read))
     pool = keep(blocked(variants, ref, base))
     limits = variants.where("variant = 0").select("raw", candidate_limit(base).alias("k"))
     lost = variants.where("street_name != ''").select("raw").distinct().join(pool.select("raw").distinct(), "raw", "left_anti")
     whole = lost.join(limits, "raw").join(ref.select("address_id", "ref_ord"), F.lit(True), "cross").select("raw", "address_id", F.lit(0.0).alias("block_score"), "ref_ord", "k")
     both = pool.select("raw", "address_id", "block_score", "ref_ord", "k").unionByName(whole)
-    scored = _with_rows(both, read, ref).withColumn("score", _generation_score("stage2", "row"))
+    needed = ("house_number", "street_name", "signature", "city", "state", "zip_code")
+    pairs = both.join(_rows(ref, needed), "address_id").join(variants.select("raw", *needed), "raw")
+    each = pairs.withColumn("sim", _similar(False)).withColumn("score", generation_score())
+    scored = each.groupBy("raw", "address_id").agg(F.max("score").alias("score"), *(F.first(c).alias(c) for c in ("block_score", "ref_ord", "k")))
     w = Window.partitionBy("raw").orderBy(F.desc("score"), F.desc("block_score"), "ref_ord", "address_id")
     return scored.withColumn("cand_ord", F.row_number().over(w)).where("cand_ord <= k").select("raw", "address_id", "cand_ord", F.col("score").alias("generation_score"), "block_score")
 
 
-def features(pairs: DataFrame, read: DataFrame, ref: DataFrame) -> DataFrame:
-    """pairs with reason, standardized, has_house, has_street, values (as FEATURES), original_rough."""
+def pair_features(pairs: DataFrame, read: DataFrame, ref: DataFrame) -> DataFrame:
+    """pairs (raw, address_id, ...) with every variant of the text: variant, its parts, the row's (r_...), sim and values (as FEATURES)."""
     zips = zip_places(ref)
-    zip_of = read.select("raw", F.explode(F.array_distinct(F.transform("stage2", lambda v: v.zip_code))).alias("zip_code"))
-    own = zip_of.join(zips, "zip_code").groupBy("raw").agg(F.map_from_entries(F.collect_list(F.struct("zip_code", "places"))).alias("own"))
-    ready = _with_rows(pairs, read, ref).join(own, "raw", "left").withColumn("_zip", F.col("row.zip_code"))
-    ready = ready.join(zips.select(F.col("zip_code").alias("_zip"), F.col("places").alias("theirs")), "_zip", "left")
-    return ready.withColumn("_f", _best_features("stage2", "row", "own", "theirs")).select(*pairs.columns, "_f.*")
+    from ..functions.text import standardize
+
+    variants = stage2_variants(read).withColumn("standardized", standardize()).join(zips.withColumnRenamed("places", "own_places"), "zip_code", "left")
+    rows = _rows(ref).join(zips.select(F.col("zip_code").alias("r_zip_code"), F.col("places").alias("r_places")), "r_zip_code", "left")
+    each = pairs.join(rows, "address_id").join(variants, "raw").withColumn("sim", _similar(True))
+    return each.withColumn("values", F.array(*feature_values().values()))
+
+
+def features(pairs: DataFrame, read: DataFrame, ref: DataFrame) -> DataFrame:
+    """pairs with reason, standardized, has_house, has_street, values (as FEATURES) of the variant that fits the row best, and original_rough."""
+    each = pair_features(pairs, read, ref)
+    key = F.struct(variant_order(value).alias("o"), value("rough").alias("r"), (-F.col("variant")).alias("v"))
+    told = F.struct("reason", "standardized", (F.col("house_number") != "").alias("has_house"), (F.col("street_name") != "").alias("has_street"), "values")
+    others = [c for c in pairs.columns if c not in ("raw", "address_id")]
+    best = each.groupBy("raw", "address_id").agg(*(F.first(c).alias(c) for c in others), F.max_by(told, key).alias("_best"), F.max(F.when(F.col("variant") == 0, value("rough"))).alias("original_rough"))
+    return best.select(*pairs.columns, "_best.*", "original_rough")
 
 
 def value(name: str) -> Column:

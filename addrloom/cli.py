@@ -11,10 +11,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dataset, evaluate, feedback, quality, ranking, reading, reference, training
-from .plans.resolve import resolve
-from .sources import files, formats, manifest
-from .storage import stored
+from .operators import dataset, evaluate, feedback, quality, ranking, reading, reference, service, training
+from .plans.resolve import resolve, resolve_upload
+from .sources import batch, files, formats, manifest
+from .storage import numbered, stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +32,8 @@ def parser() -> argparse.ArgumentParser:
     command("generate", "a labelled noisy dataset", reference=need, size={"type": int, "default": 5000}, no_match={"type": float, "default": 0.5}, adversarial={"type": float, "default": 0.5}, per={"type": int, "default": 3}, seed={"type": int, "default": 4633}, out=need)
     command("train", "a ranker from labelled queries", reference=need, queries=need, feedback={}, model=need)
     command("predict", "answers for queries", reference=need, queries=need, model=need, extra_reference={}, feedback={}, limit={"type": int}, fast={"action": "store_true"}, compare={"action": "store_true"}, out=need)
+    command("report", "a workbook of answers for an uploaded list", reference=need, model=need, upload=need, address_column={"default": ""}, id_column={"default": ""}, out={})
+    command("verify", "add an uploaded list of verified addresses", reference=need, upload=need, address_column={"default": ""}, note={"default": ""}, supplement={})
     return p
 
 
@@ -56,15 +58,8 @@ def load(spark: SparkSession, args) -> None:
     rows = records.withColumn("_added", F.lit(0))
     if args.enrich:
         rows = rows.unionByName(quality.zip_city_enrichment(records, order).withColumn("_added", F.lit(1)), allowMissingColumns=True)
-    # ids follow the order of the sources: ranges are numbered, then the rows within them
-    ranged = stored(rows.repartitionByRange("_added", *order).sortWithinPartitions("_added", *order).withColumn("_at", F.monotonically_increasing_id()))
-    counts = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).count().orderBy("_part").collect()  # one row a partition
-    before, total = {}, 0
-    for part, n in counts:
-        before[part], total = total, total + n
-    base = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
-    number = base[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    out = ranged.withColumn("address_id", F.format_string("REF_%07d", number)).select("address_id", *reference.PARTS, "canonical_address", F.format_string("%.3f", "source_quality").alias("source_quality"))
+    # ids follow the order of the sources
+    out = numbered(rows, ["_added", *order], "_k").select(F.format_string("REF_%07d", "_k").alias("address_id"), *reference.PARTS, "canonical_address", F.format_string("%.3f", "source_quality").alias("source_quality"))
     out.write.mode("overwrite").option("header", True).csv(args.out)
 
 
@@ -115,15 +110,44 @@ def predict(spark: SparkSession, args) -> None:
         model = ranking.Model.from_json(f.read())
     q = _queries(spark, args.queries)
     q = q.orderBy("row_ord").limit(args.limit) if args.limit else q
-    out = resolve(q, ref, model, both=args.compare)
-    if args.feedback:
-        out = feedback.apply_overrides(out, feedback.overrides(_csv(spark, args.feedback), ref), ref)
-    out = stored(out)
-    evaluate.write_predictions(out, f"{args.out}/predictions")
-    if not args.fast:
+    over = stored(feedback.overrides(_csv(spark, args.feedback), ref)) if args.feedback else None
+    out = stored(resolve(q, ref, model, both=args.compare, over=over, stages=args.compare))
+    evaluate.write_predictions(out.drop("stage1", "stage2"), f"{args.out}/predictions")
+    if args.compare:
+        each, apart = evaluate.compare_variants(out)
+        each.write.mode("overwrite").json(f"{args.out}/evaluation")
+        apart.write.mode("overwrite").json(f"{args.out}/comparison")
+        for name, rows in list(evaluate.stage_variants(out).items())[:2]:
+            empty = F.array().cast("array<struct<reference_id:string,score:double>>")
+            evaluate.write_predictions(rows.join(q.select("query_id", "query_address"), "query_id").withColumn("top_candidates", empty), f"{args.out}/predictions_{name}")
+    elif not args.fast:
         evaluate.metrics(out, "combined").write.mode("overwrite").json(f"{args.out}/evaluation")
 
 
+def report(spark: SparkSession, args) -> None:
+    """An uploaded list to a workbook."""
+    ref = stored(reference.prepare(_csv(spark, args.reference), F.col("row_ord")))
+    with open(args.model, encoding="utf-8") as f:
+        model = ranking.Model.from_json(f.read())
+    with open(args.upload, "rb") as f:
+        name, book, _ = resolve_upload(spark, args.upload, f.read(), ref, model, address=args.address_column, id_=args.id_column)
+    with open(args.out or name, "wb") as f:
+        f.write(book)
+
+
+def verify(spark: SparkSession, args) -> None:
+    """Add an uploaded list of verified addresses to the reference and the supplement."""
+    ref = stored(reference.prepare(_csv(spark, args.reference), F.col("row_ord")))
+    with open(args.upload, "rb") as f:
+        rows = batch.addresses(batch.upload_rows(args.upload, f.read()), args.address_column)
+    asked = spark.createDataFrame([(k, text) for k, _, text in rows], "row_ord long, address string")
+    added = stored(service.add_verified(asked, ref, args.note))
+    service.append(service.reference_rows(added), args.reference)
+    if args.supplement:
+        service.append(service.manual_rows(added), args.supplement)
+    print(json.dumps(service.outcome(added), indent=2))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"addrloom {args.command}").getOrCreate()

@@ -43,6 +43,19 @@ def deltas(challenger: DataFrame, baseline: DataFrame, name: str) -> DataFrame:
     )
 
 
+def stage_variants(resolved: DataFrame) -> dict[str, DataFrame]:
+    """Rows with stage1 and stage2 structs as three tables of resolutions: stage1, stage2, combined."""
+    own = [c for c in resolved.columns if c in ("query_id", "label", "true_match_id", "split")]
+    return {**{n: resolved.select(*own, f"{n}.*") for n in ("stage1", "stage2")}, "combined": resolved.drop("stage1", "stage2")}
+
+
+def compare_variants(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metrics of the two stages and of both combined, differences of the combined ones to each stage)."""
+    found = {n: metrics(rows, n) for n, rows in stage_variants(resolved).items()}
+    each = found["stage1"].unionByName(found["stage2"]).unionByName(found["combined"])
+    return each, deltas(found["combined"], found["stage1"], "combined_vs_stage1").unionByName(deltas(found["combined"], found["stage2"], "combined_vs_stage2"))
+
+
 def _sweep(rows: DataFrame, score: str, low: int, high: int) -> DataFrame:
     """rows against thresholds low/100..high/100 as a histogram: per threshold step the rows by the last step they reach."""
     step = F.least(F.lit(high), F.floor(F.col(score) * 100 + 1e-9)).cast("int")

@@ -15,11 +15,11 @@ Q: dict = {}
 S: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str | None = None, recursive: bool = False):
     def add(f):
         Q[f.__name__] = f
         if sql is not None:
-            S[f.__name__] = f"WITH {fixtures.SQL}\n{sql.strip()}"
+            S[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{fixtures.SQL}\n{sql.strip()}"
         return f
 
     return add
@@ -418,12 +418,11 @@ _BLOCKED = f"""
 , bw AS (SELECT * FROM (VALUES {_WEIGHTS}) b(block, weight, most)),
 posted AS (SELECT p.*, row_number() OVER (PARTITION BY key ORDER BY ref_ord, address_id) AS n FROM ({_block_sql('ref', 'address_id, ref_ord')}) p),
 postings AS (SELECT key, address_id FROM posted JOIN bw USING (block) WHERE n <= most),
-asked AS (SELECT * FROM qparts WHERE noise_kind = 3), qkeys AS ({_block_sql('asked', 'query_id')}),
+qkeys AS ({_block_sql('qparts', 'query_id')}),
 summed AS (SELECT query_id, address_id, round(sum(weight)::DOUBLE, 4) AS block_score FROM qkeys JOIN bw USING (block) JOIN postings USING (key) GROUP BY 1, 2)
 """
 
 
-_BLOCKED_ALL = _BLOCKED.replace(" WHERE noise_kind = 3", "")
 _SUM_SQL = "SELECT query_id, count(*) AS candidates, round(sum(block_score), 2) AS total, max(block_score) AS best FROM summed GROUP BY query_id"
 _TOP_SQL = "SELECT query_id, address_id, n::INT AS pool FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY block_score DESC, ref_ord, s.address_id) AS n FROM summed s JOIN ref r ON s.address_id = r.address_id) WHERE n <= 10"
 
@@ -445,24 +444,13 @@ def _topk(spark, d, asked: DataFrame) -> DataFrame:
     return pool.select(F.col("raw").alias("query_id"), "address_id", "pool")
 
 
-#: The SQL of these two asks for the texts of one kind of noise; the two after them block every text.
 @_query(_BLOCKED + _SUM_SQL)
 def blocking_weighted_sum(spark, d):
-    return _weighted_sum(spark, d, _asked(spark, d).where("noise_kind = 3"))
+    return _weighted_sum(spark, d, _asked(spark, d))
 
 
 @_query(_BLOCKED + _TOP_SQL)
 def blocking_topk(spark, d):
-    return _topk(spark, d, _asked(spark, d).where("noise_kind = 3"))
-
-
-@_query(_BLOCKED_ALL + _SUM_SQL)
-def blocking_weighted_sum_all(spark, d):
-    return _weighted_sum(spark, d, _asked(spark, d))
-
-
-@_query(_BLOCKED_ALL + _TOP_SQL)
-def blocking_topk_all(spark, d):
     return _topk(spark, d, _asked(spark, d))
 
 
@@ -682,15 +670,8 @@ def _neighbours(pool: DataFrame, ref: DataFrame) -> DataFrame:
     return pairs.select(F.col("address_id").alias("candidate"), F.col("n_id").alias("neighbour"), "reason")
 
 
-#: The SQL of this one looks up a fifth of the rows; the one after it looks up every row.
-@_query(_neighbours_sql(" WHERE ref_ord % 5 = 0"))
-def adversarial_neighbors(spark, d):
-    ref = _raw_ref(spark, d)
-    return _neighbours(ref.where("ref_ord % 5 = 0"), ref)
-
-
 @_query(_neighbours_sql(""))
-def adversarial_neighbors_all(spark, d):
+def adversarial_neighbors(spark, d):
     ref = _raw_ref(spark, d)
     return _neighbours(ref, ref)
 
@@ -719,14 +700,6 @@ def predictions_table(spark, d):
 # ---- without SQL: free-form reading, similarities, noise, the whole plan -----
 
 
-@_query()
-def sequence_ratio(spark, d):
-    from ..functions.similarity import blended_udf, phonetic_udf, ratio_udf
-
-    p = _true_pairs(spark, d).select("street_name", "r_street_name").distinct()
-    return p.select("*", _r(ratio_udf("street_name", "r_street_name")).alias("ratio"), _r(blended_udf("street_name", "r_street_name")).alias("blended"), _r(phonetic_udf("street_name", "r_street_name")).alias("phonetic"))
-
-
 @_query()
 def parse_freeform(spark, d):
     from ..operators import reading
@@ -762,3 +735,6 @@ def noise_corrupt(spark, d):
 @_query()
 def split_blake2b(spark, d):
     return _raw_ref(spark, d).select("address_id", dataset.stable_split("address_id").alias("split"))
+
+
+from . import core_queries  # noqa: E402, F401  (registers further queries)

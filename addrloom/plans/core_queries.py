@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import noise, vocab
+from ..functions import noise, text, vocab
 from ..functions.similarity import similarities
 from ..functions.vocab import FEATURES, PARTS
-from ..operators import ranking, service
-from .queries import _TRUE, _jaccard, _qry, _query, _r, _raw_ref, _ref, _signature, _soundex, _standard, _true_pairs, model
+from ..operators import dataset, evaluate, ranking, reading, service, stage1
+from ..operators import reference as refs
+from ..storage import stored
+from .queries import (
+    _COMBINED, _POOL, _TRUE, _UNIQUE, _VARIANTS, _canonical, _combined, _core, _jaccard, _keys_sql, _metrics_sql, _neighbours_sql, _qry, _query, _r, _raw_ref, _ref, _signature, _soundex, _standard, _true_pairs, model,
+)
 
 # ---- matching blocks in SQL ----------------------------------------------------
 
@@ -246,3 +250,119 @@ SELECT query_id, CASE WHEN zip_code <> '' THEN zip_code WHEN city = '' OR state
 """)
 def infer_zip(spark, d):
     return service.inferred_zips(_qry(spark, d).select("query_id", *PARTS), _ref(spark, d)).select("query_id", "inferred_zip")
+
+
+# ---- stage 1 as a whole, with its fuzzy street ------------------------------------
+
+_RULE_NAMES = [*stage1.RULES, stage1.FUZZY[0]]
+_CONFIDENCE = [c for c, _, _ in stage1.RULES.values()] + [stage1.FUZZY[1]]
+_HERE = "CASE WHEN city <> '' AND state <> '' THEN r_city = city AND r_state = state WHEN city <> '' THEN r_city = city WHEN zip_code <> '' THEN substr(r_zip_code, 1, 3) = substr(zip_code, 1, 3) ELSE true END"
+
+
+@_query(_VARIANTS + _UNIQUE + f"""
+, vkeys AS ({_keys_sql('variants', 'query_id, variant')}), hits AS (SELECT query_id, variant, rule, address_id FROM vkeys JOIN uniq USING (key)),
+first_hit AS (SELECT query_id, min(variant) AS first FROM hits GROUP BY query_id),
+asked AS (SELECT v.*, {_core('v.')} AS core, CASE WHEN city <> '' AND state <> '' THEN 1 WHEN city <> '' THEN 2 WHEN zip_code <> '' THEN 3 WHEN state <> '' THEN 4 END AS kind FROM variants v LEFT JOIN first_hit USING (query_id) WHERE (first IS NULL OR variant < first) AND house_number <> '' AND street_name <> ''),
+rr AS (SELECT address_id, house_number AS r_house, street_name AS r_street_name, street_type AS r_street_type, {_core()} AS r_core, city AS r_city, state AS r_state, zip_code AS r_zip_code FROM ref),
+by_city AS (SELECT r_house, r_city, r_state, count(*) AS n FROM rr GROUP BY ALL), by_zip AS (SELECT r_house, substr(r_zip_code, 1, 3) AS zip3, count(*) AS n FROM rr GROUP BY ALL),
+by_state AS (SELECT r_house, r_state, count(*) AS n FROM rr GROUP BY ALL), by_house AS (SELECT r_house, count(*) AS n FROM rr GROUP BY ALL),
+sized AS (SELECT a.*, CASE kind WHEN 1 THEN c.n WHEN 3 THEN z.n WHEN 4 THEN s.n END AS n_own, h.n AS n_house FROM asked a LEFT JOIN by_city c ON c.r_house = a.house_number AND c.r_city = a.city AND c.r_state = a.state
+  LEFT JOIN by_zip z ON z.r_house = a.house_number AND z.zip3 = substr(a.zip_code, 1, 3) LEFT JOIN by_state s ON s.r_house = a.house_number AND s.r_state = a.state LEFT JOIN by_house h ON h.r_house = a.house_number),
+small AS (SELECT *, city <> '' OR zip_code <> '' AS strong FROM sized WHERE coalesce(n_own, n_house, 0) > 0 AND coalesce(n_own, n_house) <= CASE WHEN city <> '' OR zip_code <> '' THEN 80 ELSE 12 END),
+pairs AS (SELECT s.*, r.* FROM small s JOIN rr r ON r.r_house = s.house_number AND (n_own IS NULL OR CASE kind WHEN 1 THEN r_city = city AND r_state = state WHEN 3 THEN substr(r_zip_code, 1, 3) = substr(zip_code, 1, 3) ELSE r_state = state END)),
+strings AS (SELECT DISTINCT street_name AS a, r_street_name AS b FROM pairs), {_RATIO},
+streets AS (SELECT p.*, greatest({_blended('street_name', 'r_street_name', 'x.ratio')}, x.ratio) AS street FROM pairs p JOIN ratios x ON x.a = street_name AND x.b = r_street_name),
+scored AS (SELECT *, 0.58 * street + 0.22 * {_jaccard('core', 'r_core')} + 0.10 * (street_type = '' OR street_type = r_street_type)::INT + 0.10 * ({_HERE})::INT AS score FROM streets),
+ranked AS (SELECT *, row_number() OVER w AS k, score - coalesce(lead(score) OVER w, 0) AS ahead FROM scored WINDOW w AS (PARTITION BY query_id, variant ORDER BY score DESC, address_id DESC)),
+fuzzy AS (SELECT query_id, variant, {len(stage1.RULES)} AS rule, address_id FROM ranked WHERE k = 1 AND ((strong AND street >= 0.62 AND (street_type = '' OR street_type = r_street_type) AND ahead >= 0.16) OR (score >= 0.88 AND ahead >= 0.08))),
+best AS (SELECT query_id, arg_min(struct_pack(v := variant, r := rule, a := address_id), variant * 100 + rule) AS m FROM (FROM hits UNION ALL FROM fuzzy) GROUP BY query_id),
+named AS (SELECT b.query_id, m.a AS id, reason, {_standard('v.')} AS standard, [{', '.join(map(repr, _RULE_NAMES))}][m.r + 1] AS rule_name, [{', '.join(map(str, _CONFIDENCE))}][m.r + 1]::DOUBLE AS c FROM best b JOIN variants v ON v.query_id = b.query_id AND v.variant = m.v),
+done AS (SELECT *, CASE WHEN reason = 'original' THEN c ELSE greatest(0.88, c - 0.03) END AS confidence FROM named)
+SELECT q.query_id, coalesce(id, '') AS predicted_match_id, coalesce(standard, {_standard('q.')}) AS standardized_query_address, round(coalesce(confidence, 0), 6) AS confidence, coalesce(confidence, 0) < 0.97 AS needs_review, coalesce('stage1_' || reason || '_' || rule_name, 'stage1_unresolved') AS stage
+FROM qparts q LEFT JOIN done d USING (query_id)
+""", recursive=True)
+def stage1_resolution(spark, d):
+    """Stage 1 from variants to answers, the fuzzy street included."""
+    variants = stage1.plain_variants(_qry(spark, d).withColumnRenamed("query_id", "raw"))
+    out = stage1.resolve(stored(variants), stored(_ref(spark, d)))
+    return out.select(F.col("raw").alias("query_id"), "predicted_match_id", "standardized_query_address", _r(F.col("confidence")).alias("confidence"), "needs_review", "stage")
+
+
+# ---- reading ----------------------------------------------------------------------
+
+#: What the reader makes of the derived texts. Units aren't in the texts. A street that lost its type and ends in PLATE has one of its own (PL, place); a name
+#: that begins with NEW reads as the direction NW without its second letter; a city with swapped letters is corrected, unless its last word is a direction.
+_READ = {
+    "house_number": "q.house_number", "predir": "CASE WHEN nw THEN 'NW' ELSE q.predir END", "street_name": "CASE WHEN plate THEN substr(q.street_name, 1, length(q.street_name) - 6) WHEN nw THEN substr(q.street_name, 4) WHEN lost THEN q.street_name || ' ' || string_split(q.city, ' ')[1] ELSE q.street_name END",
+    "street_type": "CASE WHEN plate THEN 'PL' ELSE q.street_type END", "suffixdir": "CASE WHEN lost THEN string_split(q.city, ' ')[-1] ELSE '' END", "unit_type": "''", "unit_value": "''", "city": "CASE WHEN lost THEN '' WHEN noise_kind = 5 THEN r.city ELSE q.city END", "state": "q.state", "zip_code": "q.zip_code",
+}
+
+
+@_query(f"""
+, told AS (SELECT *, noise_kind = 2 AND street_name LIKE '% PLATE' AS plate, noise_kind = 3 AND predir = '' AND street_name LIKE 'NW %' AS nw, noise_kind = 5 AND string_split(city, ' ')[-1] IN ('N', 'S', 'E', 'W', 'NE', 'NW', 'SE', 'SW') AS lost FROM qparts)
+SELECT query_id, {', '.join(f'{e} AS {p}' for p, e in _READ.items())} FROM told q JOIN ref r ON q.true_match_id = r.address_id
+""")
+def parse_freeform(spark, d):
+    """Every text read, with its city and context settled."""
+    ref, q = _ref(spark, d), _qry(spark, d)
+    read = reading.read_all(q.select(F.col("query_address").alias("raw")), ref, refs.places(ref), stored)
+    return q.select("query_id", F.col("query_address").alias("raw")).join(read.select("raw", "parts.*"), "raw").drop("raw")
+
+
+# ---- near misses and checks of datasets ---------------------------------------------
+
+_GAP = "CASE WHEN regexp_matches(p.house_number, '^[0-9]+$') AND regexp_matches(r.house_number, '^[0-9]+$') THEN abs(p.house_number::BIGINT - r.house_number::BIGINT) ELSE 999 END"
+_STREET_SAME = " AND ".join(f"p.{c} = r.{c}" for c in ("predir", "street_name", "street_type", "suffixdir"))
+
+
+_KEPT = _neighbours_sql("").replace(" SELECT candidate, neighbour, arg_min(reason, i) AS reason FROM pairs GROUP BY 1, 2", ", kept AS (SELECT candidate, neighbour, arg_min(reason, i) AS reason FROM pairs GROUP BY 1, 2),\n")
+
+
+@_query(_KEPT + f"""both_ AS (SELECT k.*, upper(r.street_name) AS a, upper(p.street_name) AS b, p.house_number = r.house_number AS house, {_STREET_SAME} AS street, (p.city = r.city AND p.state = r.state AND r.city <> '') OR (p.zip_code = r.zip_code AND r.zip_code <> '') AS near, {_GAP} AS gap
+  FROM kept k JOIN pool p ON p.address_id = k.candidate JOIN ref r ON r.address_id = k.neighbour),
+strings AS (SELECT DISTINCT a, b FROM both_), {_RATIO}
+SELECT candidate, neighbour, reason, round(greatest(CASE WHEN house AND near THEN 0.68 + 0.25 * ratio ELSE 0 END, CASE WHEN street AND near AND gap BETWEEN 1 AND 20 THEN 0.76 + 0.20 * (1 - least(gap, 20) / 20.0) ELSE 0 END,
+  CASE WHEN reason IN ('same_house_city', 'same_house_zip') THEN CASE WHEN ratio >= 0.45 THEN 0.55 + 0.35 * ratio ELSE 0 END ELSE CASE WHEN gap BETWEEN 1 AND 30 THEN 0.58 + 0.30 * (1 - least(gap, 30) / 30.0) ELSE 0 END END)::DOUBLE, 6) AS score FROM both_ JOIN ratios USING (a, b)
+""", recursive=True)
+def neighbor_scores(spark, d):
+    """How easily every row, some with a changed house, is taken for each of its neighbours."""
+    ref = _raw_ref(spark, d)
+    pool = ref.withColumn("house_number", F.expr(_POOL)).withColumn("canonical_address", F.col("address_id"))
+    scored = dataset.neighbour_score(dataset.neighbours(pool, ref, strict=False))
+    return scored.select(F.col("address_id").alias("candidate"), F.col("n_id").alias("neighbour"), "reason", _r(F.col("score")).alias("score"))
+
+
+_TABLES = {
+    "reference": ("address_id", "true"), "negatives": ("CASE WHEN ref_ord % 14 = 0 THEN address_id ELSE 'NEG_' || address_id END", "ref_ord % 7 = 0"), "adversarial": ("'ADV_' || cast(ref_ord % 30 as string)", "ref_ord % 10 = 0"),
+}
+_ASKED = {
+    "query_id": "case when noise_kind = 1 then 'Q_1' else query_id end", "label": "cast(case when noise_kind = 6 then 0 else 1 end as int)", "base_address_id": "true_match_id", "split": "case when noise_kind = 2 then 'test' else 'train' end",
+    "true_match_id": "case when noise_kind = 0 then 'REF_0000001' when noise_kind = 6 then '' else true_match_id end", "query_address": "query_address",
+}
+_KEY = lambda x: f"trim(upper(replace(regexp_replace(trim(regexp_replace(replace({x}, ',', ' , '), '\\s+', ' ', 'g')), ' ,', ',', 'g'), ',', '')))"
+
+
+@_query(", lines AS (SELECT *, " + _canonical() + " AS canonical_address FROM ref), ids AS (" + " UNION ALL ".join(f"SELECT {i} AS address_id, canonical_address FROM lines WHERE {w}" for i, w in _TABLES.values()) + "), data AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ASKED.items()) + f""" FROM qry),
+wrong AS (SELECT 1 FROM data q JOIN lines r ON {_KEY('q.query_address')} = {_KEY('r.canonical_address')} WHERE q.label = 0 OR r.address_id <> q.true_match_id)
+SELECT 'repeated_id' AS "check", count(*) AS violations FROM (SELECT 1 FROM ids GROUP BY address_id HAVING count(*) > 1) UNION ALL SELECT 'repeated_line', count(*) FROM (SELECT 1 FROM ids GROUP BY canonical_address HAVING count(*) > 1)
+UNION ALL SELECT 'unsafe_label', count(*) FROM wrong UNION ALL SELECT 'split_bases', count(*) FROM (SELECT 1 FROM data GROUP BY base_address_id HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'repeated_query_id', count(*) FROM (SELECT 1 FROM data GROUP BY query_id HAVING count(*) > 1)
+""")
+def validate_counts(spark, d):
+    """The checks of a dataset, on one that breaks all of them."""
+    lines = _raw_ref(spark, d).withColumn("canonical_address", text.canonical_line())
+    made = {n: lines.where(w).withColumn("address_id", F.expr(i)) for n, (i, w) in _TABLES.items()}
+    made["queries"] = _qry(spark, d).selectExpr(*(f"{e} AS {n}" for n, e in _ASKED.items()))
+    return dataset.problems(made)
+
+
+@_query("SELECT query_id, least(40, 28 + 4 * ((house_number = '')::INT + (street_name = '')::INT + (city = '')::INT + (state = '')::INT + (zip_code = '')::INT) + CASE WHEN zip_code = '' THEN 4 ELSE 0 END + CASE WHEN city = '' OR house_number = '' THEN 2 ELSE 0 END)::INT AS k FROM qparts")
+def candidate_limits(spark, d):
+    return _qry(spark, d).select("query_id", ranking.candidate_limit().cast("int").alias("k"))
+
+
+@_query(_COMBINED + _metrics_sql("(SELECT c.*, q.noise_kind FROM comb c JOIN qparts q USING (query_id))", "by_kind").replace("SELECT ", "SELECT noise_kind, ", 1) + " GROUP BY noise_kind")
+def eval_by_kind(spark, d):
+    """The metrics by kind of noise, as by split or stage."""
+    rows = _combined(spark, d).drop("top_candidates").join(_qry(spark, d).select("query_id", "noise_kind"), "query_id")
+    return evaluate.metrics(rows, "by_kind", ["noise_kind"])

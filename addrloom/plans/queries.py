@@ -700,17 +700,6 @@ def predictions_table(spark, d):
 # ---- without SQL: free-form reading, similarities, noise, the whole plan -----
 
 
-@_query()
-def parse_freeform(spark, d):
-    from ..operators import reading
-    from ..storage import stored
-
-    ref = _ref(spark, d)
-    q = _qry(spark, d)
-    read = reading.read_all(q.select(F.col("query_address").alias("raw")), ref, refs.places(ref), stored)
-    return q.select("query_id", F.col("query_address").alias("raw")).join(read.select("raw", "parts.*"), "raw").drop("raw")
-
-
 def model() -> ranking.Model:
     """A plain ranker for derived tables: evidence of house, street and place counts, no tree."""
     w = {"bias": -6.0, "full_similarity": 3.0, "street_name_similarity": 2.0, "house_exact": 2.5, "street_exact": 1.0, "city_similarity": 1.0, "zip_exact": 1.0, "rough": 2.0, "house_mismatch_strong_context": -2.0, "source_quality": 0.2}

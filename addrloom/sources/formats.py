@@ -11,6 +11,7 @@ from ..functions import vocab as v
 from ..functions.generic import full_address
 from ..functions.text import canonical_line, query_key
 from ..functions.vocab import PARTS
+from ..storage import stored
 
 
 def detect(columns: list[str], requested: str = "auto") -> str:
@@ -192,13 +193,14 @@ def reject_reason(let: Steps, r: Row, kind: str, state: str) -> Column:
     )
 
 
-def project(rows: DataFrame, kind: str = "auto", state: str = "MS", order: list[str] | None = None) -> DataFrame:
+def project(rows: DataFrame, kind: str = "auto", state: str = "MS", order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Every row with the ten parts, source_quality, reject ('' for usable rows), canonical and its key.
 
-    ``order`` names the columns that keep the order of the source.
+    ``order`` names the columns that keep the order of the source; ``columns``
+    those of the source itself, where the rows have more.
     """
-    kind = detect(rows.columns, kind)
-    r, let = Row(rows), Steps(rows)
+    kind = detect(columns or rows.columns, kind)
+    r, let = Row(rows.select(*(f"`{n}`" for n in columns)) if columns else rows), Steps(rows)
     parts = {p: let(x) for p, x in PROJECTIONS[kind](let, r, state).items()}
     extra = order or []
     county_only = (c.token(r.get("LOCALITY_STATUS")) == v.COUNTY_ONLY_STATUS.replace("_", "").upper()) & (kind == "openaddresses")
@@ -227,16 +229,24 @@ def first_rows(projected: DataFrame, order: list[str]) -> DataFrame:
     return projected.where("reject = ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def load(sources: list[tuple[DataFrame, str]], state: str = "MS", order: tuple[str, ...] = ("file_ord", "row_ord"), limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def load(sources: list[tuple[DataFrame, str]], state: str = "MS", order: tuple[str, ...] = ("file_ord", "row_ord"), limit: int | None = None, keep=stored) -> tuple[DataFrame, DataFrame]:
     """(records, stats) of (table, format) pairs with the order columns: dedupe within and across sources, first wins.
 
+    The projected rows are kept once (``keep``) for both, and so that what follows is planned on a table.
+
     stats: source_ord, reason ('loaded', 'duplicate', 'duplicate_across_sources'
     or a reject), rows.
     """
-    both = None
+    # tables of one shape are read as one
+    shapes: dict[tuple, DataFrame] = {}
     for i, (rows, kind) in enumerate(sources):
-        own = project(rows, kind, state, list(order)).withColumn("source_ord", F.lit(i))
+        shape, own = (detect(rows.columns, kind), *rows.columns), rows.withColumn("source_ord", F.lit(i))
+        shapes[shape] = shapes[shape].unionByName(own) if shape in shapes else own
+    both = None
+    for (kind, *columns), rows in shapes.items():
+        own = project(rows, kind, state, ["source_ord", *order], columns)
         both = own if both is None else both.unionByName(own)
+    both = keep(both)
     inside, across = Window.partitionBy("source_ord", "dedupe_key").orderBy(*order), Window.partitionBy("dedupe_key").orderBy("source_ord", *order)
     usable = both.where("reject = ''").withColumns({"_in": F.row_number().over(inside), "_all": F.row_number().over(across)})
     reason = F.when(F.col("_in") > 1, "duplicate").when(F.col("_all") > 1, "duplicate_across_sources").otherwise("loaded")

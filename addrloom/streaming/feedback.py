@@ -28,7 +28,7 @@ def follow(spark: SparkSession, log: str, ref: DataFrame, out: str, checkpoint:
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        ranked_overrides(batch, ref).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+        ranked_overrides(batch, ref).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
         if retrain:
             retrain(batch, number)
 
@@ -36,7 +36,7 @@ def follow(spark: SparkSession, log: str, ref: DataFrame, out: str, checkpoint:
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-_FOLDED = "key string, reference_id string, pass int, row_ord long"
+_FOLDED = "key string, reference_id string, pass int, row_ord long, batch int"
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:

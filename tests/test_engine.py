@@ -225,6 +225,31 @@ def test_feedback_stream(spark, ref, tmp_path):
     assert {r.key: r.reference_id for r in stream.current(spark, out).collect()} == {"A ST": "R2", "B ST": "R3"} and runs == [0, 1]
 
 
+def test_streamed_overrides_are_those_of_the_whole_log(spark, ref, tmp_path):
+    """A random log, cut at random: corrections without an id come last of all, whatever the batch."""
+    import random
+
+    from addrloom.streaming import feedback as stream
+
+    rng = random.Random(3)
+    kinds = (
+        lambda: {"feedback_type": "correct", "predicted_match_id": rng.choice(("R1", "R2", "GONE"))}, lambda: {"feedback_type": "correction", "correct_reference_id": rng.choice(("R3", "R4"))},
+        lambda: {"feedback_type": "correction", "correct_address": rng.choice(("306 Clark Ave, Newton MS 39345", "419 West Pl, Madison MS 39110"))}, lambda: {"feedback_type": "wrong", "predicted_match_id": "R1"},
+    )
+    rows = [{**rng.choice(kinds)(), "input_address": f"{rng.choice('abcdef')} st"} for _ in range(40)]
+    log = stored(log_rows(spark, *rows))
+    expected = {r.key: r.reference_id for r in feedback.overrides(log, ref).collect()}
+    for k, cuts in enumerate(([40], sorted(rng.sample(range(1, 40), 3)) + [40])):
+        at, out, start = str(tmp_path / f"log{k}"), str(tmp_path / f"out{k}"), 0
+        for end in cuts:
+            stream.append(log.where(f"row_ord >= {start} AND row_ord < {end}"), at)
+            stream.follow(spark, at, ref, out, str(tmp_path / f"cp{k}")).awaitTermination()
+            start = end
+        assert {r.key: r.reference_id for r in stream.current(spark, out).collect()} == expected
+        stream.compact(spark, out, f"{out}-one")
+        assert {r.key: r.reference_id for r in stream.current(spark, f"{out}-one").collect()} == expected
+
+
 def test_datasets(spark, tmp_path):
     pool = spark.range(240).selectExpr(
         "concat('P', id) AS address_id", "cast(100 + id % 60 as string) AS house_number", "'' AS predir", "concat('Street', char(65 + cast(id / 60 as int)), 'land') AS street_name", "'ST' AS street_type", "'' AS suffixdir", "'' AS unit_type", "'' AS unit_value",

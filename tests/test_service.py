@@ -129,7 +129,10 @@ def test_training_runs_one_at_a_time(tmp_path):
 
     job = TrainingJob(train, str(path))
     assert job.status()["state"] == "idle"
-    for reason in ("first", "second", "third"):
+    job.request("first")
+    while not runs:
+        time.sleep(0.01)
+    for reason in ("second", "third"):
         job.request(reason)
     job.wait()
     assert len(runs) == 2 and path.read_text() == "2" and job.status()["state"] == "done" and job.status()["reason"] == "third" and job.status()["log"][-1] == "run 2"

@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     command("predict", "answers for queries", reference=need, queries=need, model=need, extra_reference={}, feedback={}, limit={"type": int}, fast={"action": "store_true"}, compare={"action": "store_true"}, out=need)
     command("report", "a workbook of answers for an uploaded list", reference=need, model=need, upload=need, address_column={"default": ""}, id_column={"default": ""}, out={})
     command("verify", "add an uploaded list of verified addresses", reference=need, upload=need, address_column={"default": ""}, note={"default": ""}, supplement={})
+    command("serve", "the service's routes", reference=need, model=need, log=need, queries={}, supplement={}, port={"type": int, "default": 8000})
     return p
 
 
@@ -148,6 +149,12 @@ def verify(spark: SparkSession, args) -> None:
     print(json.dumps(service.outcome(added), indent=2))
 
 
+def serve(spark: SparkSession, args) -> None:
+    from .http import Service, server
+
+    server(Service(spark, args.reference, args.model, args.log, args.queries, args.supplement), args.port).serve_forever()
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"addrloom {args.command}").getOrCreate()

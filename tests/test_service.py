@@ -139,3 +139,40 @@ def test_training_runs_one_at_a_time(tmp_path):
     job.request("again")
     job.wait()
     assert job.status()["state"] == "failed" and "no luck" in job.status()["error"] and path.read_text() == "2" and list(tmp_path.iterdir()) == [path]
+
+
+def test_routes(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from addrloom.http import Service, server
+
+    path, model_path = str(tmp_path / "ref"), tmp_path / "model.json"
+    lines = [("R1", "101", "", "Candace", "ST", "", "", "", "Newton", "MS", "39345"), ("R2", "102", "", "Candace", "ST", "", "", "", "Newton", "MS", "39345")]
+    spark.createDataFrame(lines, SCHEMA).coalesce(1).write.option("header", True).csv(path)
+    model_path.write_text(model().to_json())
+    own = server(Service(spark, path, str(model_path), str(tmp_path / "log"), supplement_path=str(tmp_path / "more")))
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+
+    def ask(route, data=None, kind="application/json"):
+        request = urllib.request.Request(f"http://127.0.0.1:{own.server_address[1]}{route}", data if data is None or isinstance(data, bytes) else json.dumps(data).encode(), {"Content-Type": kind})
+        try:
+            with urllib.request.urlopen(request) as r:
+                return r.status, r.read()
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert json.loads(ask("/api/health")[1])["reference_count"] == 2 and json.loads(ask("/api/training")[1])["state"] == "idle" and ask("/../secret")[0] == 404
+        assert ask("/api/resolve", {"address": " "})[0] == 400 and ask("/api/resolve", b"no json")[0] == 400 and ask("/api/feedback", {"address": "x", "feedback_type": "maybe"})[0] == 400
+        assert json.loads(ask("/api/resolve", {"address": "101 candace st newton ms"})[1])["predicted_match_id"] == "R1"
+        assert json.loads(ask("/api/add-address", {"address": "500 Candace St, Newton MS"})[1]) == {"already_exists": False, "reference_id": "REF_0000001", "canonical_address": "500 CANDACE ST, NEWTON MS 39345", "reference_count": 3}
+        assert json.loads(ask("/api/feedback", {"address": "101 candase st", "feedback_type": "correction", "correct_address": "102 Candace St, Newton MS"})[1])["recorded"]
+        assert json.loads(ask("/api/resolve", {"address": "101 Candase ST"})[1])["stage"] == "feedback_override"
+        form = b'--b\r\nContent-Disposition: form-data; name="file"; filename="l.csv"\r\n\r\nid,address\n1,101 Candace St Newton MS\n\r\n--b\r\nContent-Disposition: form-data; name="id_column"\r\n\r\nid\r\n--b--\r\n'
+        assert json.loads(ask("/api/batch-columns", form, "multipart/form-data; boundary=b")[1])["address_column"] == 1
+        book = ask("/api/batch-resolve", form, "multipart/form-data; boundary=b")
+        assert book[0] == 200 and files.sheet_rows(book[1])[1][7] == "R1" and ask("/api/batch-columns", form, "text/plain")[0] == 400
+    finally:
+        own.shutdown()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import dataset, evaluate, feedback, quality, ranking, reading, reference, service, training
 from .plans.resolve import resolve, resolve_upload
-from .sources import batch, files, formats, manifest
+from .sources import batch, downloads, files, formats, manifest
 from .storage import numbered, stored
 
 
@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
 
     need, many = {"required": True}, {"action": "append", "default": []}
     command("load", "sources to one reference table", inputs=many, manifest=many, format={"default": "auto"}, state={"default": "MS"}, limit={"type": int}, out=need, all_counties={"action": "store_true"}, enrich={"action": "store_true"})
-    command("audit", "what each source adds", inputs=many, manifest=many, format={"default": "auto"}, state={"default": "MS"}, out=need)
+    command("audit", "what each source adds", inputs=many, manifest=many, format={"default": "auto"}, state={"default": "MS"}, baseline={"type": int}, out=need)
+    command("download", "public sources to a folder", kind={"required": True, "choices": ["archives", "layers", "points", "parcels"]}, folder=need, configs={}, refresh={"action": "store_true"}, statewide={"action": "store_true"}, limit={"type": int})
     command("generate", "a labelled noisy dataset", reference=need, size={"type": int, "default": 5000}, no_match={"type": float, "default": 0.5}, adversarial={"type": float, "default": 0.5}, per={"type": int, "default": 3}, seed={"type": int, "default": 4633}, out=need)
     command("train", "a ranker from labelled queries", reference=need, queries=need, feedback={}, model=need)
     command("predict", "answers for queries", reference=need, queries=need, model=need, extra_reference={}, feedback={}, limit={"type": int}, fast={"action": "store_true"}, compare={"action": "store_true"}, out=need)
@@ -55,24 +56,35 @@ def load(spark: SparkSession, args) -> None:
     if args.all_counties and (missing := manifest.missing_counties(found)):
         raise SystemExit("no source covers: " + ", ".join(missing))
     order = ["source_ord", "file_ord", "row_ord"]
-    records = stored(formats.load(tables, args.state, limit=args.limit)[0])
+    records, stats = (stored(x) for x in formats.load(tables, args.state, limit=args.limit))
     rows = records.withColumn("_added", F.lit(0))
     if args.enrich:
         rows = rows.unionByName(quality.zip_city_enrichment(records, order).withColumn("_added", F.lit(1)), allowMissingColumns=True)
     # ids follow the order of the sources
     out = numbered(rows, ["_added", *order], "_k").select(F.format_string("REF_%07d", "_k").alias("address_id"), *reference.PARTS, "canonical_address", F.format_string("%.3f", "source_quality").alias("source_quality"))
     out.write.mode("overwrite").option("header", True).csv(args.out)
+    audited = [r.asDict(recursive=True) for r in quality.audit(records, stats).orderBy("source_ord").collect()]  # a row a source
+    meta = quality.audit_summary(audited, manifest.counties_in(found), manifest.missing_counties(found)) | {"reference_records": spark.read.option("header", True).csv(args.out).count(), "sources": audited, "input_paths": found}
+    spark.createDataFrame([(json.dumps(meta, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.out.rstrip('/')}-metadata")
 
 
 def audit(spark: SparkSession, args) -> None:
     tables, found = _tables(spark, args)
     records, stats = (stored(x) for x in formats.load(tables, args.state))
     rows = [r.asDict(recursive=True) for r in quality.audit(records, stats).orderBy("source_ord").collect()]  # a row a source
-    report = {"sources": rows, "covered_counties": manifest.counties_in(found), "missing_counties": manifest.missing_counties(found)}
+    report = {"sources": rows, "summary": quality.audit_summary(rows, manifest.counties_in(found), manifest.missing_counties(found), args.baseline)}
     with open(args.out, "w", encoding="utf-8") as f:
         json.dump(report, f, indent=2, sort_keys=True)
 
 
+def download(spark: SparkSession, args) -> None:
+    made = {
+        "archives": lambda: downloads.archives(args.folder), "points": lambda: downloads.point_addresses(args.folder), "parcels": lambda: downloads.parcels(spark, args.folder, limit=args.limit, refresh=args.refresh),
+        "layers": lambda: downloads.layers(spark, args.folder, args.configs or f"{args.folder}/configs", args.refresh, args.refresh, args.statewide),
+    }[args.kind]()
+    print(json.dumps(made, indent=2))
+
+
 def generate(spark: SparkSession, args) -> None:
     pool = _csv(spark, args.reference)
     made = {k: stored(v) for k, v in dataset.build(pool, args.size, round(args.size * args.no_match * (1 - args.adversarial)), round(args.size * args.no_match * args.adversarial), args.per, args.seed).items()}

@@ -111,7 +111,7 @@ class Service:
         return {"recorded": True, "training": self.job.request(kind) if self.queries_path else self.job.status()}
 
     def health(self) -> dict:
-        return service.health(self.ref, self.model, self.over, self._log(), training_state=self.job.status()["state"], reference=self.reference_path, model=self.model_path)
+        return service.health(self.ref, self.model, self.over, self._log(), training_state=self.job.status()["state"], reference_path=self.reference_path, model_path=self.model_path)
 
 
 def _needed(text, name: str) -> str:

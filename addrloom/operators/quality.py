@@ -64,4 +64,19 @@ def audit(records: DataFrame, stats: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("reason").isin("loaded", "duplicate_across_sources"), F.col("rows")).otherwise(0)).alias("rows_loaded"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "rows")))).alias("reasons"),
     )
-    return per.join(record_summary(records, ["source_ord"]), "source_ord", "left")
+    return per.join(record_summary(records, ["source_ord"]), "source_ord", "left").fillna(0)
+
+
+def audit_summary(sources: list[dict], covered: list[str], missing: list[str], baseline: int | None = None) -> dict:
+    """Totals over the rows of ``audit``, counties covered, and whether the new records outnumber a baseline."""
+    reasons: dict[str, int] = {}
+    for one in sources:
+        for reason, n in (one.get("reasons") or {}).items():
+            reasons[reason] = reasons.get(reason, 0) + n
+    total = lambda name: sum(int(one.get(name) or 0) for one in sources)
+    skipped = {r: n for r, n in sorted(reasons.items()) if r not in ("loaded", "duplicate", "duplicate_across_sources")}
+    out = {
+        "source_count": len(sources), "rows_seen": total("rows_seen"), "rows_loaded": total("rows_loaded"), "rows_skipped": sum(skipped.values()), "skip_reasons": skipped, "net_new_records": total("net_new"),
+        "duplicate_rows": reasons.get("duplicate", 0), "duplicate_against_prior_sources": reasons.get("duplicate_across_sources", 0), "covered_counties": covered, "missing_counties": missing,
+    }
+    return out if baseline is None else {**out, "baseline_reference_count": baseline, "beats_baseline": out["net_new_records"] > baseline}

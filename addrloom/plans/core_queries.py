@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import noise, text, vocab
 from ..functions.similarity import similarities
 from ..functions.vocab import FEATURES, PARTS
-from ..operators import dataset, evaluate, ranking, reading, service, stage1
+from ..operators import dataset, evaluate, quality, ranking, reading, service, stage1
 from ..operators import reference as refs
+from ..sources import formats
 from ..storage import stored
 from .queries import (
-    _COMBINED, _POOL, _TRUE, _UNIQUE, _VARIANTS, _canonical, _combined, _core, _jaccard, _keys_sql, _metrics_sql, _neighbours_sql, _qry, _query, _r, _raw_ref, _ref, _signature, _soundex, _standard, _true_pairs, model,
+    _COMBINED, _JUDGED, _POOL, _TRUE, _UNIQUE, _VARIANTS, _canonical, _combined, _core, _jaccard, _keys_sql, _metrics_sql, _neighbours_sql, _qry, _query, _r, _raw_ref, _ref, _signature, _soundex, _sources, _standard, _true_pairs, model,
 )
 
 # ---- matching blocks in SQL ----------------------------------------------------
@@ -366,3 +367,14 @@ def eval_by_kind(spark, d):
     """The metrics by kind of noise, as by split or stage."""
     rows = _combined(spark, d).drop("top_candidates").join(_qry(spark, d).select("query_id", "noise_kind"), "query_id")
     return evaluate.metrics(rows, "by_kind", ["noise_kind"])
+
+
+@_query(_JUDGED + """
+, own AS (SELECT source_ord, count(*) FILTER (inside = 1) AS rows_loaded, count(*) FILTER (across = 1) AS net_new, count(DISTINCT upper("CITY")) FILTER (across = 1 AND "CITY" <> '') AS city_count, count(DISTINCT "POSTCODE") FILTER (across = 1 AND "POSTCODE" <> '') AS zip_count,
+  count(*) FILTER (across = 1 AND "CITY" = '') AS blank_city_records, count(*) FILTER (across = 1 AND "POSTCODE" = '') AS blank_zip_records FROM ranked GROUP BY 1),
+seen AS (SELECT source_ord, count(*) AS rows_seen FROM judged GROUP BY 1)
+SELECT source_ord::INT AS source_ord, rows_seen, net_new, rows_loaded, net_new AS records, city_count, zip_count, blank_city_records, blank_zip_records FROM seen JOIN own USING (source_ord)
+""")
+def source_audit(spark, d):
+    records, stats = formats.load(_sources(spark, d))
+    return quality.audit(records, stats).drop("reasons")

@@ -161,10 +161,12 @@ def test_routes(spark, tmp_path):
             with urllib.request.urlopen(request) as r:
                 return r.status, r.read()
         except urllib.error.HTTPError as e:
-            return e.code, json.loads(e.read())
+            return e.code, e.read()
 
     try:
-        assert json.loads(ask("/api/health")[1])["reference_count"] == 2 and json.loads(ask("/api/training")[1])["state"] == "idle" and ask("/../secret")[0] == 404
+        health = json.loads(ask("/api/health")[1])
+        assert health.get("reference_count") == 2, health
+        assert json.loads(ask("/api/training")[1])["state"] == "idle" and ask("/../secret")[0] == 404
         assert ask("/api/resolve", {"address": " "})[0] == 400 and ask("/api/resolve", b"no json")[0] == 400 and ask("/api/feedback", {"address": "x", "feedback_type": "maybe"})[0] == 400
         assert json.loads(ask("/api/resolve", {"address": "101 candace st newton ms"})[1])["predicted_match_id"] == "R1"
         assert json.loads(ask("/api/add-address", {"address": "500 Candace St, Newton MS"})[1]) == {"already_exists": False, "reference_id": "REF_0000001", "canonical_address": "500 CANDACE ST, NEWTON MS 39345", "reference_count": 3}
@@ -176,3 +178,24 @@ def test_routes(spark, tmp_path):
         assert book[0] == 200 and files.sheet_rows(book[1])[1][7] == "R1" and ask("/api/batch-columns", form, "text/plain")[0] == 400
     finally:
         own.shutdown()
+
+
+def test_command_line(spark, tmp_path):
+    from addrloom import cli
+
+    (tmp_path / "Newton_addresses.csv").write_text('full_address\n"101 Candace St, Newton, MS 39345"\n"102 Candace St, Newton, MS 39345"\n"101 Candace St, Newton, MS 39345"\n"no number, Newton, MS 39345"\n')
+    source = str(tmp_path / "Newton_addresses.csv")
+    cli.main(["load", "--inputs", source, "--out", str(tmp_path / "ref")])
+    kept = spark.read.option("header", True).csv(str(tmp_path / "ref"))
+    assert {(r.address_id, r.house_number, r.city) for r in kept.collect()} == {("REF_0000001", "101", "Newton"), ("REF_0000002", "102", "Newton")}
+    meta = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "ref-metadata")).collect()))
+    assert (meta["rows_seen"], meta["reference_records"], meta["duplicate_rows"], meta["covered_counties"]) == (4, 2, 1, ["newton"])
+    cli.main(["audit", "--inputs", source, "--baseline", "1", "--out", str(tmp_path / "audit.json")])
+    told = json.loads((tmp_path / "audit.json").read_text())
+    assert told["summary"]["beats_baseline"] and told["summary"]["rows_skipped"] == 1 and told["sources"][0]["city_count"] == 1
+    (tmp_path / "up.csv").write_text("address\n500 Candace St Newton MS\n")
+    cli.main(["verify", "--reference", str(tmp_path / "ref"), "--upload", str(tmp_path / "up.csv"), "--supplement", str(tmp_path / "more")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "ref")).count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "more")).first().address_id == "MANUAL_MS_000001"
+    (tmp_path / "model.json").write_text(model().to_json())
+    cli.main(["report", "--reference", str(tmp_path / "ref"), "--model", str(tmp_path / "model.json"), "--upload", str(tmp_path / "up.csv"), "--out", str(tmp_path / "out.xlsx")])
+    assert files.sheet_rows((tmp_path / "out.xlsx").read_bytes())[1][7] == "REF_0000003"

@@ -45,7 +45,10 @@ STREET_TYPE_SPELLINGS = {
 UNIT_TYPES = {"APT": "APARTMENT", "STE": "SUITE", "UNIT": "UNIT", "FL": "FLOOR", "BLDG": "BUILDING", "RM": "ROOM"}
 
 #: Typing errors in queries.
-STATE_TYPOS = {t: "MS" for t in ("MISSIPPI", "MISSPPI", "MISSPI", "MISSISSPI", "MISSISSIPI", "MISISSIPI", "MISISIPI", "MISSISIPPI", "MISISIPPI", "MISISSIPPI", "MISSISSPPI")}
+STATE_TYPOS = {
+    "MISSIPPI": "MS", "MISSPPI": "MS", "MISSPI": "MS", "MISSISSPI": "MS", "MISSISSIPI": "MS", "MISISSIPI": "MS", "MISISIPI": "MS",
+    "MISSISIPPI": "MS", "MISISIPPI": "MS", "MISISSIPPI": "MS", "MISSISSPPI": "MS",
+}
 STREET_TYPE_TYPOS = {
     "SR": "ST", "SY": "ST", "DT": "ST", "STRET": "ST", "STREE": "ST", "STRETT": "ST", "XR": "DR", "FR": "DR", "DN": "DR", "DRIE": "DR",
     "DRIEV": "DR", "DRIVEE": "DR", "RN": "RD", "RF": "RD", "RAOD": "RD", "RODA": "RD", "LF": "LN", "KN": "LN", "AB": "AVE", "AC": "AVE",
@@ -68,12 +71,15 @@ DESCRIPTOR_DATE = r"(?i)\bDOD\b\s*(?:\d{6,8}|\d{1,2}(?:\s*[/-]\s*|\s+)\d{1,2})"
 SIDE_OF_ROAD = r"(?i)^\s*[NSEW]\s*/\s*S\.?\s+"
 
 COUNTIES = (
-    "adams alcorn amite attala benton bolivar calhoun carroll chickasaw choctaw claiborne clarke clay coahoma copiah covington desoto forrest "
-    "franklin george greene grenada hancock harrison hinds holmes humphreys issaquena itawamba jackson jasper jefferson jeffersondavis jones "
-    "kemper lafayette lamar lauderdale lawrence leake lee leflore lincoln lowndes madison marion marshall monroe montgomery neshoba newton "
-    "noxubee oktibbeha panola pearlriver perry pike pontotoc prentiss quitman rankin scott sharkey simpson smith stone sunflower tallahatchie "
-    "tate tippah tishomingo tunica union walthall warren washington wayne webster wilkinson winston yalobusha yazoo"
-).split()
+    "adams", "alcorn", "amite", "attala", "benton", "bolivar", "calhoun", "carroll", "chickasaw", "choctaw", "claiborne", "clarke",
+    "clay", "coahoma", "copiah", "covington", "desoto", "forrest", "franklin", "george", "greene", "grenada", "hancock", "harrison",
+    "hinds", "holmes", "humphreys", "issaquena", "itawamba", "jackson", "jasper", "jefferson", "jeffersondavis", "jones", "kemper",
+    "lafayette", "lamar", "lauderdale", "lawrence", "leake", "lee", "leflore", "lincoln", "lowndes", "madison", "marion", "marshall",
+    "monroe", "montgomery", "neshoba", "newton", "noxubee", "oktibbeha", "panola", "pearlriver", "perry", "pike", "pontotoc",
+    "prentiss", "quitman", "rankin", "scott", "sharkey", "simpson", "smith", "stone", "sunflower", "tallahatchie", "tate", "tippah",
+    "tishomingo", "tunica", "union", "walthall", "warren", "washington", "wayne", "webster", "wilkinson", "winston", "yalobusha",
+    "yazoo",
+)
 COUNTY_SPELLINGS = {"jeffdavis": "jeffersondavis", "tallawalth": "tallahatchiewalthall"}
 
 #: How far a source's rows are trusted, by format.

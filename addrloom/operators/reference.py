@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.freeform import Places
 from ..functions.text import normalize_text, s, standardize, street_core, street_signature, tokens, phonetic_signature, soundex_code
 from ..functions.vocab import PARTS
+from ..storage import numbered
 
 #: A place table beyond this many rows isn't sent to readers.
 MOST_PLACES = 2_000_000
@@ -72,7 +73,7 @@ def augment(primary: DataFrame, extra: DataFrame, prefix: str = "AUG") -> tuple[
     new = kept.where("_side = 1").withColumn("_twice", F.row_number().over(Window.partitionBy("address_id").orderBy("ref_ord")))
     taken = primary.select("address_id").distinct().withColumn("_taken", F.lit(True))
     marked = new.join(taken, "address_id", "left").withColumn("_clash", F.col("_taken").isNotNull() | (F.col("_twice") > 1))
-    renamed = marked.where("_clash").withColumn("_k", F.row_number().over(Window.partitionBy("_clash").orderBy("ref_ord", "address_id")))
+    renamed = numbered(marked.where("_clash"), ["ref_ord", "address_id"], "_k")
     renamed = renamed.withColumn("address_id", F.format_string(f"{prefix}_%07d", F.col("_k")))
     rows = own.select(*primary.columns).unionByName(marked.where("NOT _clash").select(*primary.columns)).unionByName(renamed.select(*primary.columns))
     stats = first.agg(

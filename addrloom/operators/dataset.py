@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import noise
-from ..functions.similarity import ratio_udf
+from ..functions.similarity import similarities
 from ..functions.text import query_key, canonical_line
 from ..functions.vocab import PARTS
 from ..storage import numbered, stored
@@ -58,20 +58,38 @@ NEIGHBOURS = {
 def neighbours(candidates: DataFrame, reference: DataFrame, strict: bool = True) -> DataFrame:
     """canonical_address, reason, n_ (the neighbour's parts): one row per pair, first reason first.
 
-    ``strict`` asks for every part of a street key, directions included.
+    ``strict`` asks for every part of a street key, directions included. A pair is
+    dropped where it meets if an earlier key joins it too, so that pairs are never
+    shuffled; only those of repeated lines or ids are compared with one another.
     """
-    out = None
-    for i, (reason, key) in enumerate(NEIGHBOURS.items()):
-        needed = key if strict else [c for c in key if c not in ("predir", "suffixdir", "street_type")]
-        given = F.lit(True)
-        for c in needed:
-            given = given & (F.col(c) != "")
-        keyed = lambda df: df.where(given).withColumn("_key", F.concat_ws("\x1f", *key))  # noqa: B023, E731
-        right = keyed(reference).select("_key", F.col("address_id").alias("n_id"), *(F.col(p).alias(f"n_{p}") for p in PARTS))
-        own = keyed(candidates).join(right, "_key").drop("_key").withColumns({"reason": F.lit(reason), "_r": F.lit(i)})
-        out = own if out is None else out.unionByName(own)
+    names = {c: f"n_{c}" for c in PARTS}
+    right = reference.select(F.col("address_id").alias("n_id"), *(F.col(c).alias(n) for c, n in names.items()))
+    once, many = _by_count(candidates, "canonical_address")
+    r_once, r_many = _by_count(right, "n_id")
+
+    def met(own: DataFrame, other: DataFrame) -> DataFrame:
+        out, before = None, F.lit(False)
+        for i, (reason, key) in enumerate(NEIGHBOURS.items()):
+            given = F.lit(True)
+            for c in key if strict else [c for c in key if c not in ("predir", "suffixdir", "street_type")]:
+                given = given & (F.col(c) != "")
+            same = F.lit(True)
+            for c in key:
+                same = same & (F.col(c) == F.col(names[c]))
+            pairs = own.where(given).join(other, same).where(~before).withColumns({"reason": F.lit(reason), "_r": F.lit(i)})
+            out = pairs if out is None else out.unionByName(pairs)
+            before = before | F.coalesce(given & same, F.lit(False))
+        return out
+
     w = Window.partitionBy("canonical_address", "n_id").orderBy("_r")
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    unsure = met(many, right).unionByName(met(once, r_many))
+    return met(once, r_once).unionByName(unsure.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n"))
+
+
+def _by_count(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key no other row has, and the rest."""
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").drop("_n")
 
 
 def neighbour_score(pairs: DataFrame) -> DataFrame:
@@ -87,7 +105,10 @@ def neighbour_score(pairs: DataFrame) -> DataFrame:
         F.when(house & near, 0.68 + 0.25 * like).otherwise(zero), F.when(street & near & gap.between(1, 20), 0.76 + 0.20 * (1 - F.least(gap, F.lit(20)) / 20)).otherwise(zero),
         F.when(by_house & (like >= 0.45), 0.55 + 0.35 * like).otherwise(zero), F.when(~by_house & gap.between(1, 30), 0.58 + 0.30 * (1 - F.least(gap, F.lit(30)) / 30)).otherwise(zero),
     )
-    return pairs.withColumn("_like", ratio_udf(F.upper("n_street_name"), F.upper("street_name"))).withColumn("score", score).drop("_like")
+    # pairs of a street key have one street: only the others are measured
+    measured = similarities({"street": (F.upper("n_street_name"), F.upper("street_name"), ("ratio",))})
+    likes = pairs.where(by_house).withColumn("_like", measured["street_ratio"]).unionByName(pairs.where(~by_house).withColumn("_like", F.lit(1.0)))
+    return likes.withColumn("score", score).drop("_like")
 
 
 def near_misses(pool: DataFrame, reference: DataFrame, n: int, exclude: DataFrame, strict: bool = True) -> DataFrame:

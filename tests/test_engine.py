@@ -334,3 +334,33 @@ def test_both_stages_get_every_text(spark, monkeypatch):
     with pytest.raises(Asked) as asked:
         q.Q["resolve_end_to_end"](spark, d)
     assert asked.value.args[0] == fixtures.queries(spark, d).select("query_address").distinct().count()
+
+
+def _shuffled(spark, df) -> tuple[int, int]:
+    """Rows of ``df`` and the records that its run shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return len(df.collect()), written() - before
+
+
+def test_pairs_of_neighbours_are_not_shuffled(spark):
+    """Sixty rows of one house and city are 3,600 pairs; a repeated id or line still counts once a pair, under its first reason."""
+    from addrloom.operators import dataset
+
+    parts = dict(predir="", street_type="ST", suffixdir="", unit_type="", unit_value="", city="NEWTON", state="MS", zip_code="39345")
+    made = lambda i, **new: {"address_id": f"A{i}", "canonical_address": f"L{i}", "house_number": "1", "street_name": f"S{i % 7}", **parts, **new}
+    table = lambda rows: spark.createDataFrame(rows, "address_id string, canonical_address string, house_number string, " + ", ".join(f"{c} string" for c in ("street_name", *parts)))
+    rows = [made(i) for i in range(60)]
+    found = dataset.neighbours(table(rows), table(rows))
+    n, moved = _shuffled(spark, found)
+    assert n == 3600 and moved < 2000
+    assert {r.reason for r in found.select("reason").distinct().collect()} == {"same_house_city"}
+    twice = [made(0, city="", house_number="2"), made(0), made(1)]
+    got = dataset.neighbours(table(twice), table([made(0), made(0, house_number="9"), made(2, zip_code="1", city="", street_name="S0")]))
+    assert sorted((r.canonical_address, r.n_id, r.reason) for r in got.collect()) == [("L0", "A0", "same_house_city"), ("L1", "A0", "same_house_city")]

@@ -364,3 +364,19 @@ def test_pairs_of_neighbours_are_not_shuffled(spark):
     twice = [made(0, city="", house_number="2"), made(0), made(1)]
     got = dataset.neighbours(table(twice), table([made(0), made(0, house_number="9"), made(2, zip_code="1", city="", street_name="S0")]))
     assert sorted((r.canonical_address, r.n_id, r.reason) for r in got.collect()) == [("L0", "A0", "same_house_city"), ("L1", "A0", "same_house_city")]
+
+
+def test_stage_1_broadcasts_nothing_that_grows(spark):
+    """Files of texts and rows look small: no table of them may pass through the driver. A later variant's hit and a repeated reading stay right."""
+    from addrloom.operators import reference, stage1
+    from addrloom.plans import fixtures, queries as q
+    from addrloom.storage import stored
+
+    d = "/root/testdata/sf0.001"
+    variants = stored(stage1.plain_variants(fixtures.queries(spark, d).withColumnRenamed("query_id", "raw")))
+    out = stage1.resolve(variants, stored(reference.prepare(fixtures.reference(spark, d))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {"original", "drop_type"} <= {r.reason for r in variants.select("reason").distinct().collect()}
+    assert out.count() == variants.where("variant = 0").count() == variants.select("raw").distinct().count()
+    assert variants.groupBy("raw", *q.PARTS).count().where("count > 1").count() == 0

@@ -380,3 +380,23 @@ def test_stage_1_broadcasts_nothing_that_grows(spark):
     assert {"original", "drop_type"} <= {r.reason for r in variants.select("reason").distinct().collect()}
     assert out.count() == variants.where("variant = 0").count() == variants.select("raw").distinct().count()
     assert variants.groupBy("raw", *q.PARTS).count().where("count > 1").count() == 0
+
+
+def test_hits_of_blocking_are_not_shuffled(spark):
+    """Sums over the hits of all texts, as hits would give them; far more hits than records are shuffled."""
+    from pyspark.sql import functions as F
+
+    from addrloom.operators import blocking, reference as refs
+    from addrloom.plans import fixtures, queries as q
+
+    d = "/root/testdata/sf0.001"
+    ref = refs.prepare(fixtures.reference(spark, d), F.col("ref_ord")).cache()
+    asked = fixtures.queries(spark, d).withColumn("variant", F.lit(0)).withColumnRenamed("query_id", "raw").withColumn("signature", F.expr("concat_ws(' ', nullif(predir, ''), nullif(street_name, ''), nullif(street_type, ''), nullif(suffixdir, ''))")).cache()
+    weights = F.create_map(*(x for n, (_, w, _) in refs.BLOCKS.items() for x in (F.lit(n), F.lit(w))))
+    hits = refs.block_keys(asked, "raw").distinct().join(refs.postings(ref).drop("block"), "key")
+    each = hits.groupBy("raw", "address_id").agg(F.round(F.sum(weights[F.col("block")]), 4).alias("s"))
+    expected = {r.raw: (r.n, round(r.t, 2), r.m) for r in each.groupBy("raw").agg(F.count("s").alias("n"), F.sum("s").alias("t"), F.max("s").alias("m")).collect()}
+    found = blocking.sums(asked, ref)
+    assert {r.raw: (r.candidates, round(r.total, 2), r.best) for r in found.collect()} == expected
+    n, moved = _shuffled(spark, q.Q["blocking_weighted_sum"](spark, d))
+    assert n == len(expected) and moved < hits.count() / 2

@@ -400,3 +400,29 @@ def test_hits_of_blocking_are_not_shuffled(spark):
     assert {r.raw: (r.candidates, round(r.total, 2), r.best) for r in found.collect()} == expected
     n, moved = _shuffled(spark, q.Q["blocking_weighted_sum"](spark, d))
     assert n == len(expected) and moved < hits.count() / 2
+
+
+def test_pools_over_several_readings_and_groups(spark, monkeypatch):
+    """Weights of all readings add up, ties go by the order of insertion, however small the groups and the sums held at once are."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from addrloom.operators import blocking, ranking, reference as refs, stage1
+    from addrloom.plans import fixtures, queries as q
+
+    d = "/root/testdata/sf0.001"
+    ref = refs.prepare(fixtures.reference(spark, d), F.col("ref_ord")).cache()
+    texts = fixtures.queries(spark, d).where("noise_kind IN (1, 3, 5, 7)").withColumnRenamed("query_id", "raw").withColumn("street_name", F.expr("case when raw like '%3' then '' else street_name end"))
+    variants = stage1.plain_variants(texts).cache()
+    monkeypatch.setattr(blocking, "SUMS", 500)
+    monkeypatch.setattr(blocking.grouped, "__defaults__", (40,))
+    found = {(r.raw, r.pool): (r.address_id, r.block_score, r.k, r.ref_ord) for r in ranking.blocked(variants, ref, most=30).collect()}
+    weights = F.create_map(*(x for n, (_, w, _) in refs.BLOCKS.items() for x in (F.lit(n), F.lit(w))))
+    keys = refs.block_keys(variants.withColumn("signature", ranking._joined("predir", "street_name", "street_type", "suffixdir")), "raw").join(variants.where("street_name <> ''").select("raw").distinct(), "raw")
+    summed = keys.join(refs.postings(ref).drop("block"), "key").groupBy("raw", "address_id").agg(F.round(F.sum(weights[F.col("block")]), 6).alias("s"))
+    limits = variants.where("variant = 0").select("raw", ranking.candidate_limit().alias("k"))
+    w = Window.partitionBy("raw").orderBy(F.desc("s"), "ref_ord", "address_id")
+    pools = summed.join(ref.select("address_id", "ref_ord"), "address_id").join(limits, "raw").withColumn("pool", F.row_number().over(w)).where("pool <= 30")
+    assert found == {(r.raw, r.pool): (r.address_id, r.s, r.k, r.ref_ord) for r in pools.collect()} and found
+    n, moved = _shuffled(spark, q.Q["blocking_topk"](spark, d))
+    assert moved < 120 * n / 10  # a text has some 130 rows in its pool

@@ -14,6 +14,7 @@ one class from the start.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -95,11 +96,23 @@ def signatures(sets: list[np.ndarray], width: int, seed: int = 10) -> np.ndarray
     return out
 
 
+def slices(texts: pd.Series, rows: int = 500, chars: int = 1 << 21) -> Iterator[slice]:
+    """Positions of a batch in runs of at most ``rows`` texts and ``chars`` characters, a longer text alone: lists of words take many times their text's bytes."""
+    start, held = 0, 0
+    for i, n in enumerate(len(t or "") for t in texts):
+        if i > start and (i - start >= rows or held + n > chars):
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def sketch(batches):
         for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                part = pdf.iloc[start : start + 500]
+            for at in slices(pdf["_text"]):
+                part = pdf.iloc[at]
                 split = [(t or "").encode("utf-8", "surrogatepass").split() for t in part["_text"]]
                 full = [i for i, w in enumerate(split) if w]
                 sig = signatures([shingles(split[i]) for i in full], width)
@@ -206,6 +219,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             yield pdf.loc[hit, columns[:-2]].assign(equal=None, n=None).astype({"equal": "Int32", "n": "Int64"})
             if at := np.flatnonzero(seen).tolist():
                 yield pd.DataFrame({c: pd.array([None] * len(at), dtype="Int64") for c in columns[:-2]}).assign(equal=at, n=seen[at])
+        give_back()
 
     tables, seen = [], np.zeros(width + 1)  # of the levels
     for level in range(depth, floor - 1, -1):
@@ -221,11 +235,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     def sets(batches):
         for pdf in batches:
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in pdf["_text"]]
-            # an id that is repeated with another text belongs to another class
-            own = np.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() == x for w, x in zip(split, pdf["words"])], dtype=bool)
-            blobs = [np.unique(shingles(w)).astype("<u8").tobytes() for w, ok in zip(split, own) if ok]
-            yield pdf.loc[own, ["rep", "copies", "sig", "words"]].assign(set=blobs)
+            for at in slices(pdf["_text"]):
+                part = pdf.iloc[at]
+                split = [(t or "").encode("utf-8", "surrogatepass").split() for t in part["_text"]]
+                # an id that is repeated with another text belongs to another class
+                own = np.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() == x for w, x in zip(split, part["words"])], dtype=bool)
+                blobs = [np.unique(shingles(w)).astype("<u8").tobytes() for w, ok in zip(split, own) if ok]
+                yield part.loc[own, ["rep", "copies", "sig", "words"]].assign(set=blobs)
+            give_back()
 
     needed = classes.join(hits.select("rep").distinct(), "rep", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("_text"))
@@ -251,6 +268,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             edges = forest(rep[np.concatenate(ga)], rep[np.concatenate(gb)])
             some = n > 0
             yield pd.DataFrame({"a": np.concatenate([rep[some], np.array([e[0] for e in edges], dtype=np.int64)]), "b": pd.array([None] * int(some.sum()) + [e[1] for e in edges], dtype="Int64"), "n": np.concatenate([n[some], np.zeros(len(edges), dtype=np.int64)])})
+        give_back()
 
     found = materialize(dealt(full, key).mapInPandas(verify, "a long, b long, n long"), "links")
     discard(tries, *tables)

@@ -246,3 +246,15 @@ def test_forest_spans():
 def test_crc_of_ids_is_of_little_endian_words():
     assert zlib.crc32(np.array([1, 70000], dtype="<u4").tobytes()) == zlib.crc32(bytes([1, 0, 0, 0, 0x70, 0x11, 1, 0]))
     assert pa.array([b"x"], pa.binary())[0].as_py() == b"x"
+
+
+def test_batches_of_long_texts_are_cut_by_their_characters():
+    import pandas as pd
+
+    texts = pd.Series(["a" * 100, None, "b" * 2000, "", *["c" * 300] * 9, "d"])
+    cut = list(jaccard_join.slices(texts, rows=4, chars=1000))
+    assert [i for s in cut for i in range(s.start, s.stop)] == list(range(len(texts)))
+    for s in cut:
+        held = [len(t or "") for t in texts.iloc[s]]
+        assert len(held) <= 4 and (sum(held) <= 1000 or len(held) == 1)
+    assert not list(jaccard_join.slices(texts.iloc[:0])) and list(jaccard_join.slices(pd.Series([None, None], dtype=object))) == [slice(0, 2)]

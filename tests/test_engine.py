@@ -426,3 +426,30 @@ def test_pools_over_several_readings_and_groups(spark, monkeypatch):
     assert found == {(r.raw, r.pool): (r.address_id, r.s, r.k, r.ref_ord) for r in pools.collect()} and found
     n, moved = _shuffled(spark, q.Q["blocking_topk"](spark, d))
     assert moved < 120 * n / 10  # a text has some 130 rows in its pool
+
+
+def test_pools_are_scored_where_they_meet(spark, monkeypatch):
+    """The candidates are those of whole pools, scored by the plan's columns; pools never leave their groups."""
+    from pyspark.sql.window import Window
+
+    from addrloom.operators import blocking, reference as refs
+    from addrloom.plans import fixtures
+
+    d = "/root/testdata/sf0.001"
+    ref = stored(refs.prepare(fixtures.reference(spark, d), F.col("ref_ord")))
+    texts = fixtures.queries(spark, d).withColumnRenamed("query_id", "raw").withColumn("street_name", F.expr("case when raw like '%3' then '' else street_name end"))
+    readings = stage1.plain_variants(texts).groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("variant", "reason", *PARTS))).alias("stage2"))
+    read = stored(texts.select("raw", F.struct(*PARTS).alias("parts")).join(readings, "raw").withColumn("stage2", F.transform("stage2", lambda v: v.dropFields("variant"))))
+    monkeypatch.setattr(blocking, "SUMS", 500)
+    monkeypatch.setattr(blocking.grouped, "__defaults__", (40,))
+    variants = stored(ranking.stage2_variants(read))
+    pool = stored(ranking.blocked(variants, ref))
+    needed = ("house_number", "street_name", "signature", "city", "state", "zip_code")
+    each = pool.join(ranking._rows(ref, needed), "address_id").join(variants.select("raw", *needed), "raw").withColumn("sim", ranking._similar(False)).withColumn("score", ranking.generation_score())
+    best = each.groupBy("raw", "address_id", "ref_ord", "block_score", "k").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("raw").orderBy(F.desc("score"), F.desc("block_score"), "ref_ord", "address_id")
+    expected = best.withColumn("cand_ord", F.row_number().over(w)).where("cand_ord <= k").select("raw", "address_id", "cand_ord", "score", "block_score")
+    found = ranking.candidates(read, ref)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in expected.collect()} and expected.count() == found.count() > 1000
+    n, moved = _shuffled(spark, blocking.scored(variants, ref, ranking.candidate_limit(), 240, 8, ranking.generation_score))
+    assert n == found.count() and moved < pool.count()

@@ -453,3 +453,27 @@ def test_pools_are_scored_where_they_meet(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in expected.collect()} and expected.count() == found.count() > 1000
     n, moved = _shuffled(spark, blocking.scored(variants, ref, ranking.candidate_limit(), 240, 8, ranking.generation_score))
     assert n == found.count() and moved < pool.count()
+
+
+def test_first_ranks_are_those_of_all_candidates(spark, monkeypatch):
+    """Ranks, margins and features of the first rows are those of all candidates by the plan's columns; texts that hit nothing are ranked too."""
+    from addrloom.operators import blocking, reference as refs
+    from addrloom.plans import fixtures
+
+    d = "/root/testdata/sf0.001"
+    raw = fixtures.reference(spark, d).withColumn("zip_code", F.expr("case when ref_ord % 7 = 0 then '' else zip_code end"))
+    ref = stored(refs.prepare(raw, F.col("ref_ord")))
+    texts = fixtures.queries(spark, d).withColumnRenamed("query_id", "raw").withColumn("street_name", F.expr("case when raw like '%3' then '' when raw like '%17' then 'QX' else street_name end"))
+    texts = texts.withColumns({c: F.expr(f"case when street_name = 'QX' then '' else {c} end") for c in ("house_number", "city", "state", "zip_code")})
+    other = lambda reason, **new: F.struct(F.lit(reason).alias("reason"), *((F.lit(new[p]) if p in new else F.col(p)).alias(p) for p in PARTS))
+    read = stored(texts.select("raw", F.struct(*PARTS).alias("parts"), F.array(other("original"), other("drop_type", street_type=""), other("x", city="BRAZIL")).alias("stage2")))
+    monkeypatch.setattr(blocking, "SUMS", 500)
+    monkeypatch.setattr(blocking.grouped, "__defaults__", (40,))
+    weights = model().weights
+    columns = ("raw", "address_id", "cand_ord", "rank", "n_ranked", "reason", "standardized", "has_house", "has_street", "rank_score", "values")
+    every = stored(ranking.ranked(ranking.features(ranking.candidates(read, ref), read, ref), weights))
+    found = stored(ranking.first_ranks(read, ref, weights, keep=stored))
+    told = lambda df, most: sorted((*r[:-1], tuple(r.values)) for r in df.where(F.col("rank") <= most).select(*columns).collect())
+    assert told(found, 5) == told(every, 5) and found.where("raw like '%17'").count() >= 10
+    margins = lambda df: {r.raw: r.margin for r in df.where("rank = 1").select("raw", "margin").collect()}
+    assert margins(found) == margins(every) and found.count() < every.count() / 2

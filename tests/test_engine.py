@@ -477,3 +477,29 @@ def test_first_ranks_are_those_of_all_candidates(spark, monkeypatch):
     assert told(found, 5) == told(every, 5) and found.where("raw like '%17'").count() >= 10
     margins = lambda df: {r.raw: r.margin for r in df.where("rank = 1").select("raw", "margin").collect()}
     assert margins(found) == margins(every) and found.count() < every.count() / 2
+
+
+def _repeated(spark):
+    """Texts without their units, thrice under new ids, and other houses of their streets."""
+    from addrloom.plans import fixtures
+
+    own = fixtures.queries(spark, "/root/testdata/sf0.001").withColumn("variant", F.lit(0)).withColumn("signature", F.expr("concat_ws(' ', nullif(predir, ''), nullif(street_name, ''), nullif(street_type, ''), nullif(suffixdir, ''))"))
+    copies = own.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("copy"))
+    return copies.withColumns({"raw": F.concat_ws("-", "query_id", "copy"), "house_number": F.expr("case when copy = 3 then cast(100 + (cast(house_number as int) % 37) * 7 as string) else house_number end")})
+
+
+def test_sums_of_equal_texts_and_of_a_street_are_found_once(spark, monkeypatch):
+    """Equal texts are one, and what they share with their street is one more; sums are those of the hits, however small the groups are."""
+    from addrloom.operators import blocking, reference as refs
+    from addrloom.plans import fixtures
+
+    ref = stored(refs.prepare(fixtures.reference(spark, "/root/testdata/sf0.001"), F.col("ref_ord")))
+    asked = stored(_repeated(spark))
+    monkeypatch.setattr(blocking, "CLASSES", 50)
+    weights = F.create_map(*(x for n, (_, w, _) in refs.BLOCKS.items() for x in (F.lit(n), F.lit(w))))
+    each = refs.block_keys(asked, "raw").distinct().join(refs.postings(ref).drop("block"), "key").groupBy("raw", "address_id").agg(F.round(F.sum(weights[F.col("block")]), 4).alias("s"))
+    expected = {r.raw: (r.n, round(r.t, 2), r.m) for r in each.groupBy("raw").agg(F.count("s").alias("n"), F.sum("s").alias("t"), F.max("s").alias("m")).collect()}
+    assert {r.raw: (r.candidates, round(r.total, 2), r.best) for r in blocking.sums(asked, ref).collect()} == expected
+    classes = blocking._classes(blocking._read(asked), F.lit(0))
+    assert classes.count() == asked.select(*blocking._PARTS).distinct().count() < asked.count() / 2
+    assert classes.select("street").distinct().count() == asked.select("street_name", "city", "state", "zip_code", "signature").distinct().count() < classes.count()

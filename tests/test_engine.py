@@ -503,3 +503,25 @@ def test_sums_of_equal_texts_and_of_a_street_are_found_once(spark, monkeypatch):
     classes = blocking._classes(blocking._read(asked), F.lit(0))
     assert classes.count() == asked.select(*blocking._PARTS).distinct().count() < asked.count() / 2
     assert classes.select("street").distinct().count() == asked.select("street_name", "city", "state", "zip_code", "signature").distinct().count() < classes.count()
+
+
+def test_first_rows_of_equal_texts_are_found_once(spark, monkeypatch):
+    """The first rows of pools by sum, then order of insertion, for equal texts and texts of one street; a row is named once a group."""
+    from pyspark.sql.window import Window
+
+    from addrloom.operators import blocking, reference as refs
+    from addrloom.plans import fixtures
+
+    ref = stored(refs.prepare(fixtures.reference(spark, "/root/testdata/sf0.001"), F.col("ref_ord")))
+    asked = stored(_repeated(spark))
+    weights = F.create_map(*(x for n, (_, w, _) in refs.BLOCKS.items() for x in (F.lit(n), F.lit(w))))
+    each = refs.block_keys(asked, "raw").join(refs.postings(ref).drop("block"), "key").groupBy("raw", "address_id").agg(F.round(F.sum(weights[F.col("block")]), 6).alias("s"))
+    w = Window.partitionBy("raw").orderBy(F.desc("s"), "ref_ord", "address_id")
+    pools = each.join(ref.select("address_id", "ref_ord"), "address_id").withColumn("pool", F.row_number().over(w)).where("pool <= 10")
+    expected = {(r.raw, r.pool): (r.address_id, r.s) for r in pools.collect()}
+    monkeypatch.setattr(blocking, "CLASSES", 50)
+    monkeypatch.setattr(blocking, "SUMS", 6000)
+    found = ranking.blocked(asked, ref, most=10)
+    assert {(r.raw, r.pool): (r.address_id, r.block_score) for r in found.collect()} == expected
+    n, moved = _shuffled(spark, found.select("raw", "address_id", "pool"))
+    assert n == len(expected) and moved < n / 2  # rows are not shuffled for their names

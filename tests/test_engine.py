@@ -525,3 +525,28 @@ def test_first_rows_of_equal_texts_are_found_once(spark, monkeypatch):
     assert {(r.raw, r.pool): (r.address_id, r.block_score) for r in found.collect()} == expected
     n, moved = _shuffled(spark, found.select("raw", "address_id", "pool"))
     assert n == len(expected) and moved < n / 2  # rows are not shuffled for their names
+
+
+def test_resolution_broadcasts_no_texts_and_no_rows(spark, monkeypatch):
+    """No join of the whole plan sends texts, readings or rows through the driver, however small their files look; answers are of every query."""
+    from addrloom.operators import blocking, reading, ranking as ranks, reference as refs
+    from addrloom.plans import fixtures, resolve as plan
+    from addrloom import storage
+
+    d = "/root/testdata/sf0.001"
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    ref = stored(refs.prepare(fixtures.reference(spark, d), F.col("ref_ord")))
+    asked = stored(fixtures.queries(spark, d).select("query_id", "query_address"))
+    for m in (blocking, stage1, storage):
+        monkeypatch.setattr(m, "stored", kept)
+    out = plan.resolve(asked, ref, model(), keep=kept)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    small = ("zip_code", "_place", "rowpart", "row_part")  # zips with their places, groups of a place, ranges of numbers
+    assert [line for line in sent if not any(f"[{c}#" in line for c in small) and "shiftright" not in line] == [] and len(plans) > 8
+    assert out.count() == asked.count()
